@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopweave.llm import mixing, sharding, simhash
+from hopweave.llm import bpe, mixing, sharding, simhash
 from hopweave.llm.common import table
 
 
@@ -14,10 +14,14 @@ def op7_shard_differencing(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe_chunks(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_components(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_shard_differencing, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_shard_differencing, op8_bpe_chunks, op10_simhash_components)}
 
 ORACLE: dict[str, str] = {}
