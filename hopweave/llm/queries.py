@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from hopweave.llm import bpe, mixing, sharding, simhash
+from hopweave.llm import bpe, mixing, quality, sharding, simhash
 from hopweave.llm.common import table
 
 
+def op1_quality_ledger(spark, sf_dir):
+    return quality.verdicts(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,6 @@ def op10_simhash_components(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_shard_differencing, op8_bpe_chunks, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (op1_quality_ledger, op4_mix_sources, op7_shard_differencing, op8_bpe_chunks, op10_simhash_components)}
 
 ORACLE: dict[str, str] = {}
