@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopweave.llm import bpe, mixing, quality, sharding, simhash
+from hopweave.llm import bpe, mixing, quality, secrets, sharding, simhash, toxicity
 from hopweave.llm.common import table
 
 
@@ -10,6 +10,15 @@ def op1_quality_ledger(spark, sf_dir):
     return quality.verdicts(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def op2_secret_battery(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity_grammar(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
@@ -26,6 +35,6 @@ def op10_simhash_components(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ledger, op4_mix_sources, op7_shard_differencing, op8_bpe_chunks, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (op1_quality_ledger, op2_secret_battery, op3_toxicity_grammar, op4_mix_sources, op7_shard_differencing, op8_bpe_chunks, op10_simhash_components)}
 
 ORACLE: dict[str, str] = {}
