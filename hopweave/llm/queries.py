@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from hopweave.llm import bpe, mixing, quality, secrets, sharding, simhash, toxicity
+from pyspark.sql import functions as F
+
+from hopweave.llm import ann, bpe, licenses, mixing, packing, quality, secrets, sharding, simhash, toxicity
 from hopweave.llm.common import table
 
 
@@ -23,6 +25,14 @@ def op4_mix_sources(spark, sf_dir):
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op5_adaptive_scan(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op7_shard_differencing(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -31,10 +41,17 @@ def op8_bpe_chunks(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_license_inheritance(spark, sf_dir):
+    """Documents have no path, so each stands in source/lang/ under its doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.with_inheritance(docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text")).withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash_components(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ledger, op2_secret_battery, op3_toxicity_grammar, op4_mix_sources, op7_shard_differencing, op8_bpe_chunks, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (op1_quality_ledger, op2_secret_battery, op3_toxicity_grammar, op4_mix_sources, op5_adaptive_scan, op6_best_fit_packing, op7_shard_differencing, op8_bpe_chunks, op9_license_inheritance, op10_simhash_components)}
 
 ORACLE: dict[str, str] = {}
