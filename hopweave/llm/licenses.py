@@ -24,13 +24,13 @@ from hopweave.llm.common import map_batches, materialize
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": ("released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "spdx license identifier mit"),
     "Apache-2.0": ("licensed under the apache license version 2.0", "you may not use this file except in compliance with the license", "spdx license identifier apache 2.0"),
-    "GPL-3.0": ("licensed under the gnu general public license version 3", "free software you can redistribute it and or modify it under the terms of the gnu general public license version 3", "spdx license identifier gpl 3.0"),
-    "GPL-2.0": ("licensed under the gnu general public license version 2", "spdx license identifier gpl 2.0"),
+    "GPL-3.0": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "free software you can redistribute it and or modify it under the terms of the gnu general public license version 3", "spdx license identifier gpl 3.0"),
+    "GPL-2.0": ("this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "spdx license identifier gpl 2.0"),
     "LGPL-3.0": ("licensed under the gnu lesser general public license version 3", "spdx license identifier lgpl 3.0"),
     "AGPL-3.0": ("licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3.0"),
     "BSD-3-Clause": ("licensed under the bsd 3 clause license", "redistribution and use in source and binary forms with or without modification are permitted", "spdx license identifier bsd 3 clause"),
     "MPL-2.0": ("subject to the terms of the mozilla public license version 2.0", "spdx license identifier mpl 2.0"),
-    "CC-BY-4.0": ("licensed under cc by 4.0", "licensed under the creative commons attribution 4.0 international license"),
+    "CC-BY-4.0": ("licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "licensed under the creative commons attribution 4.0 international license"),
     "CC-BY-SA-4.0": ("licensed under cc by sa 4.0", "licensed under the creative commons attribution sharealike 4.0 international license"),
     "CC-BY-NC-4.0": ("licensed under cc by nc 4.0", "licensed under the creative commons attribution noncommercial 4.0 international license"),
     "CC0-1.0": ("dedicated to the public domain under cc0 1.0", "no rights reserved public domain dedication"),
@@ -71,10 +71,10 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
 
 
 class Matcher:
-    """Sparse cosines of a line to the templates, through an inverted index of their terms."""
+    """Sparse cosines of a line to the templates, through an inverted index of their terms. Terms of no template weigh 1 each."""
 
     def __init__(self, frequencies: dict[str, int], n: int):
-        self.idf: Callable[[str], float] = lambda t: 1.0 + math.log((n + 1) / (frequencies.get(t, 0) + 1))
+        self.idf: Callable[[str], float] = lambda t: 1.0 + math.log((n + 1) / (frequencies.get(t, 0) + 1)) if t in VOCABULARY else 1.0
         self.index: dict[str, list[tuple[int, float]]] = {}
         self.names: list[str] = []
         for name, notes in TEMPLATES.items():
