@@ -28,7 +28,7 @@ from hopweave.llm.components import components
 #: Distinct fingerprints that a shard should hold, sample rows for each shard, and the most rows of the sample.
 SHARD_ROWS, SAMPLE_PER_SHARD, SAMPLE_MOST = 60_000, 64, 262_144
 #: Comparisons that a shard makes at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 17
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -110,11 +110,11 @@ def route(nodes: list, mask: int, radius: int, fps: np.ndarray) -> Iterator[tupl
             todo.append((child, who[visits], (home & lives)[visits]))
 
 
-def linked(home: np.ndarray, visitors: np.ndarray, mask: int, block_radius: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (node, root), of the links between visitors (home among them) and home."""
-    mask64 = np.uint64(mask)
-    nodes = np.unique(np.concatenate([home, visitors]))
-    root = np.arange(len(nodes))
+def forest(lanes: np.ndarray, home: np.ndarray, visitors: np.ndarray, mask: int, block_radius: int, radius: int, total: int | None = None) -> np.ndarray:
+    """For each row of lanes (n rows of 64-bit words), the row that stands for its component, over the links between
+    rows `visitors` and rows `home`: at most `radius` bits apart in the first word and `total` in all."""
+    mask64, first = np.uint64(mask), np.ascontiguousarray(lanes[:, 0])
+    root = np.arange(len(lanes))
 
     def find(i: np.ndarray) -> np.ndarray:
         r = root[i]
@@ -126,34 +126,45 @@ def linked(home: np.ndarray, visitors: np.ndarray, mask: int, block_radius: int,
             r = up
 
     def compare(h: np.ndarray, v: np.ndarray) -> None:
-        rows = max(1, BLOCK // len(h))
+        rows, f = max(1, BLOCK // len(h)), first[h]
         for at in range(0, len(v), rows):
             part = v[at : at + rows]
-            near = np.bitwise_count(nodes[part][:, None] ^ nodes[h][None, :]) <= radius
-            near &= part[:, None] != h[None, :]
-            for i in np.flatnonzero(near.any(1)):
-                tops = np.unique(find(np.append(h[near[i]], part[i])))
+            near = np.bitwise_count(first[part][:, None] ^ f[None, :]) <= radius
+            hit, of = np.nonzero(near)
+            if total is not None and len(hit):
+                fine = np.bitwise_count(lanes[part[hit]] ^ lanes[h[of]]).sum(1, dtype=np.int64) <= total
+                hit, of = hit[fine], of[fine]
+            other = part[hit] != h[of]
+            hit, of = hit[other], of[other]
+            for i, start, end in zip(*_groups(hit), strict=True):
+                tops = np.unique(find(np.append(h[of[start:end]], part[i])))
                 root[tops] = tops[0]
 
-    todo = [(np.searchsorted(nodes, np.unique(home)), np.searchsorted(nodes, np.unique(visitors)))]
+    todo = [(home, visitors)]
     while todo:
         h, v = todo.pop()
         if not len(h) or not len(v):
             continue
-        if len(h) * len(v) > BLOCK // 4 and len(h) > 32:
-            vantage = nodes[h[len(h) // 2]]
-            dh = np.bitwise_count((nodes[h] ^ vantage) & mask64).astype(np.int16)
+        if len(h) * len(v) > BLOCK and len(h) > 32:
+            vantage = first[h[len(h) // 2]]
+            dh = np.bitwise_count((first[h] ^ vantage) & mask64).astype(np.int16)
             median = int(np.sort(dh)[(len(dh) - 1) // 2])
             if median == dh.max():
                 median -= 1
             if median >= 0:
-                dv = np.bitwise_count((nodes[v] ^ vantage) & mask64).astype(np.int16)
+                dv = np.bitwise_count((first[v] ^ vantage) & mask64).astype(np.int16)
                 todo += [(h[dh <= median], v[dv <= median + block_radius]), (h[dh > median], v[dv > median - block_radius])]
                 continue
         compare(h, v)
-    top = find(np.arange(len(nodes)))
-    joined = top != np.arange(len(nodes))
-    return nodes[joined], nodes[top[joined]]
+    return find(np.arange(len(lanes)))
+
+
+def _groups(sorted_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal neighbours: the value, the first position and the one behind the last."""
+    if not len(sorted_ids):
+        return sorted_ids, sorted_ids, sorted_ids
+    start = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
+    return sorted_ids[start], start, np.append(start[1:], len(sorted_ids))
 
 
 def links(fps: DataFrame, radius: int = 3, blocks: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -182,9 +193,10 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 2, shard_rows: int = SH
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), (k << 40) | (leaf << 16) | salt, np.int64)), pa.array(x[who].view(np.int64)), pa.array(lives)], ["shard", "fp", "home"])
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["fp"].to_numpy().view(np.uint64)
-        a, b = linked(v[pdf["home"].to_numpy()], v, masks[int(key[0]) >> 40], block_radius, radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        fp = pdf["fp"].to_numpy()
+        top = forest(fp.view(np.uint64)[:, None], np.flatnonzero(pdf["home"]), np.arange(len(fp)), masks[int(key[0]) >> 40], block_radius, radius)
+        joined = top != np.arange(len(fp))
+        return pd.DataFrame({"a": fp[joined], "b": fp[top[joined]]})
 
     dealt = fps.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * shards)
@@ -200,21 +212,103 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, blocks: in
     """
     fps = materialize(fingerprints(docs, words), "fingerprints")
     reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    labels = components(links(reps, radius, blocks, shard_rows), "links")
-    labels = materialize(labels, "labels")
-    tops = labels.join(reps, labels.node == reps.fp).groupBy("root").agg(F.min("least").alias("least"))
-    lower = labels.join(tops, "root").select(F.col("node").alias("fp"), F.col("least").alias("linked"))
-    classes = reps.join(lower, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return fps.join(classes, "fp").select("doc_id", hexed, "component_id")
+    return _classes(fps, reps, links(reps, radius, blocks, shard_rows), "fp").select("doc_id", hexed, "component_id")
+
+
+#: Words of 64 bits that estimate a similarity; bits that may differ in the first at once, and the margin in all, in standard errors.
+LANES, FIRST_RADIUS, MARGIN = 4, 16, 1.5
+#: Rows of a shard of a band.
+BAND_ROWS = 30_000
+
+
+def lanes(text: bytes, words: int) -> tuple[int, np.ndarray]:
+    """The number of different word shingles of a text, and LANES independent SimHashes of their set."""
+    tokens = text.translate(_LOWER).split()
+    if not tokens:
+        return 0, np.zeros(LANES, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    shingles = {digest(join(x), 42) for x in zip(*(tokens[i:] for i in range(words)), strict=False)} or {digest(join(tokens), 42)}
+    h = np.fromiter(shingles, np.uint64, len(shingles))
+    out = np.empty(LANES, np.uint64)
+    for lane in range(LANES):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[lane] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return len(shingles), out
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_rows: int = BAND_ROWS) -> DataFrame:
+    """doc_id and component_id of each row of docs, over links between texts whose sets of word shingles are estimated to
+    have a Jaccard similarity of `similarity` or more.
+
+    SimHashes of sets with similarity s differ in a share acos(2s / (1 + s)) / pi of their bits (for sets of one size). A link needs at
+    most that share of LANES * 64 bits and MARGIN standard errors. Sets whose sizes differ by more than the similarity
+    allows can't be linked, so rows are dealt by bands of size, each compared with itself and the next, in shards.
+    At such a radius a vantage-point tree prunes little: the work within a band grows with the square of its rows.
+    Edge cases are those of near_duplicates().
+    """
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [lanes(t or b"", words) for t in as_bytes(batch.column(1))]
+        cols = np.stack([g[1] for g in got]).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), *[pa.array(np.ascontiguousarray(cols[:, i])) for i in range(LANES)]], ["doc_id", "n", *names])
+
+    names = [f"l{i}" for i in range(LANES)]
+    typed = ", ".join(f"{x} long" for x in names)
+    fps = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda: step, f"doc_id long, n long, {typed}")
+    fps = materialize(fps.withColumn("id", F.xxhash64("n", *names)), "lanes")
+    reps = fps.groupBy("id", "n", *names).agg(F.min("doc_id").alias("least"))
+    width = float(np.log(1 / similarity))
+    reps = materialize(reps.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / width + 1e-9).cast("int")), "bands")
+    # one count for each band: at most a few hundred, as sizes of texts go
+    salts = {r["band"]: -(-r["count"] // band_rows) for r in reps.groupBy("band").count().collect()}
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * LANES
+    total = int(share * bits + MARGIN * (share * (1 - share) * bits) ** 0.5)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            for b in np.unique(band).tolist():
+                rows = np.flatnonzero(band == b)
+                for to in (b, b - 1):
+                    for salt in range(salts.get(to, 0)):
+                        home = (own[rows] % np.uint64(salts[to]) == salt) & (to == b)
+                        part = batch.take(pa.array(rows))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), (to << 20) | salt, np.int64)), pa.array(home), *part.columns[1:]], ["shard", "home", "id", *names])
+
+    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        words64 = np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64)
+        ids = pdf["id"].to_numpy()
+        top = forest(words64, np.flatnonzero(pdf["home"]), np.arange(len(ids)), (1 << 64) - 1, FIRST_RADIUS, FIRST_RADIUS, total)
+        joined = top != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[joined], "b": ids[top[joined]]})
+
+    dealt = reps.select("band", "id", *names).mapInArrow(deal, f"shard long, home boolean, id long, {typed}")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * sum(salts.values()))
+    found = dealt.repartition(parts, "shard").groupBy("shard").applyInPandas(join, "a long, b long")
+    return _classes(fps, reps, found, "id").select("doc_id", "component_id")
+
+
+def _classes(fps: DataFrame, reps: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """fps with component_id: the smallest `least` of the reps that the links connect."""
+    labels = materialize(components(edges, "links"), "labels")
+    tops = labels.join(reps, labels.node == reps[key]).groupBy("root").agg(F.min("least").alias("least"))
+    lower = labels.join(tops, "root").select(F.col("node").alias(key), F.col("least").alias("linked"))
+    classes = reps.join(lower, key, "left").select(key, F.coalesce("linked", "least").alias("component_id"))
+    return fps.join(classes, key)
 
 
-def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id; columns stay as they are.
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component of similar(): that of its smallest doc_id; columns stay as they are.
 
     Rows that repeat this doc_id leave one of them. Rows with a null doc_id can't be named and always stay.
     """
-    found = near_duplicates(docs, **params)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    gone = similar(docs, words, similarity).where("doc_id != component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
