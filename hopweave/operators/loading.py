@@ -64,11 +64,12 @@ def batch_rows(sampled: Sample, features: DataFrame | None = None, labels: DataF
     packed = nodes.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("n"), F.sum((F.col("hop") == 0).cast("int")).cast("int").alias("batch_size"))
     edges = sampled.edge_index().groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("hop", "edge_index_1", "e_id", "edge_index_0"))).alias("e"))
     rows = packed.join(edges, "batch", "left").withColumn("e", F.coalesce("e", F.array().cast(edges.schema["e"].dataType)))
-    cols = ["batch", *[F.transform("e", lambda v, c=c: v[c]).alias(c) for c in ("edge_index_0", "edge_index_1")], F.transform("n", lambda v: v["node"]).alias("n_id"), F.transform("e", lambda v: v["e_id"]).alias("e_id"), "batch_size"]
+    # a field of an array of structs is the array of that field
+    cols = ["batch", F.col("e.edge_index_0").alias("edge_index_0"), F.col("e.edge_index_1").alias("edge_index_1"), F.col("n.node").alias("n_id"), F.col("e.e_id").alias("e_id"), "batch_size"]
     if features is not None:
-        cols += [F.flatten(F.transform("n", lambda v: v["x"])).alias("x"), F.size("n").alias("x_shape_0"), F.size(F.get("n", F.lit(0))["x"]).alias("x_shape_1")]
+        cols += [F.flatten("n.x").alias("x"), F.size("n").alias("x_shape_0"), F.size(F.get("n", F.lit(0))["x"]).alias("x_shape_1")]
     if labels is not None:
-        cols.append(F.transform("n", lambda v: v["y"]).alias("y"))
+        cols.append(F.col("n.y").alias("y"))
     return rows.select(*cols)
 
 
