@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hopweave.llm import ann, bpe, licenses, mixing, packing, quality, secrets, sharding, simhash, toxicity
+from hopweave.llm import ann, bpe, licenses, mixing, oracle, packing, quality, secrets, sharding, simhash, toxicity
 from hopweave.llm.common import table
 
 
@@ -54,4 +54,4 @@ def op10_simhash_components(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_quality_ledger, op2_secret_battery, op3_toxicity_grammar, op4_mix_sources, op5_adaptive_scan, op6_best_fit_packing, op7_shard_differencing, op8_bpe_chunks, op9_license_inheritance, op10_simhash_components)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_quality_ledger": oracle.OP1, "op4_mix_sources": oracle.OP4}
