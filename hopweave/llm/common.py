@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space as characters, for translate().
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Rows whose texts a Python worker holds as objects at once.
+SLICE = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,13 +45,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function that make() builds once in each task."""
+    """mapInArrow with a function that make() builds once in each task and that gets at most SLICE rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for at in range(0, batch.num_rows, SLICE):
+                yield step(batch.slice(at, SLICE))
 
     return df.mapInArrow(run, schema)
 
