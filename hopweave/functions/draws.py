@@ -26,3 +26,15 @@ def weighted(digest: Column, weight: Column) -> Column:
     """The rank of weighted sampling without replacement: -ln(u) / w, and infinity for weights that aren't positive and finite."""
     fine = weight.isNotNull() & (weight > 0) & ~F.isnan(weight) & (weight < float("inf"))
     return F.when(fine, -F.log(unit(digest)) / weight).otherwise(F.lit(float("inf")))
+
+
+def distinct(digest, n: Column, k: int) -> Column:
+    """k different numbers in 0..n-1 (n > k), by Floyd's method: step i draws t in 0..n-k+i and takes n-k+i where t is taken.
+    digest(i) gives the draw of step i. The cost is k, whatever n."""
+
+    def step(taken: Column, i: Column) -> Column:
+        top = n - k + i
+        drawn = F.transform(F.array(below(digest(i), top + 1)), lambda t: F.array_append(taken, F.when(F.array_contains(taken, t), top).otherwise(t)))
+        return F.element_at(drawn, 1)
+
+    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")), F.array().cast("array<bigint>"), step)

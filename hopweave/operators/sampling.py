@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopweave.functions.draws import below, key, unit, weighted
+from hopweave.functions.draws import below, distinct, key, unit, weighted
 from hopweave.graph import Graph
 
 #: Above any eid: the order of discovery is parent * _WIDE + eid.
@@ -104,7 +104,12 @@ def draw(frontier: DataFrame, graph: Graph, config: Config, hop: int) -> DataFra
             found = _capped(found, config, digest, per)
             # with k or more than the row has, all are taken whatever their weights
             return _ranked(found, [weighted(digest(F.col("eid")), F.col("weight")), digest(F.col("eid")), "eid"], k, per).select(*columns)
-        return _ranked(found, [digest(F.col("eid")), "eid"], k, per).select(*columns)
+        # k places of a row and then the edges there: a hub costs no more than any node, and no join is on its id
+        starts = graph.edges.groupBy("src").agg(F.min("eid").alias("start"), F.count("*").alias("degree"))
+        whole = F.sequence(F.lit(0).cast("bigint"), F.col("degree") - 1)
+        places = F.when(F.col("degree") <= k, whole).otherwise(distinct(digest, F.col("degree"), k)) if k else F.array().cast("array<bigint>")
+        at = rows.join(starts, "src").select("*", F.explode(places).alias("place")).withColumn("eid", F.col("start") + F.col("place"))
+        return at.join(graph.edges.select("eid", "dst"), "eid").select(*columns)
     rowed = graph.edges.groupBy("src").agg(F.min("eid").alias("start"), F.count("*").alias("degree"), *([F.sum(F.col("weight").cast("double")).alias("total")] if config.weighted else []))
     tries = rows.join(rowed, "src").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))) if k else rows.join(rowed, "src").withColumn("i", F.lit(0)).limit(0)
     if not config.weighted:

@@ -62,6 +62,15 @@ def khop(config: Config) -> list[str]:
             else:
                 curve = "SELECT *, coalesce(lag(high) OVER (PARTITION BY src ORDER BY eid), 0.0) AS low, eid = max(eid) OVER (PARTITION BY src) AS ending FROM (SELECT src, dst, eid, ts, sum(weight) OVER (PARTITION BY src ORDER BY eid ROWS UNBOUNDED PRECEDING) AS high FROM e)"
                 body = f"SELECT t.batch, t.block, t.src, c.dst, c.eid, t.parent, c.ts FROM (SELECT *, (1.0::DOUBLE - {_unit(key('i'))}) * total AS x FROM ({rows})) t JOIN ({curve}) c ON c.src = t.src AND ((t.x >= c.low AND t.x < c.high) OR (c.ending AND t.x >= c.high))"
+        elif not c.temporal and not c.weighted and k > 0:
+            steps = []
+            for i in range(k):
+                drawn = _below(key(str(i)), f"(degree - {k} + {i} + 1)")
+                steps.append(f"CASE WHEN t{i} IN ({', '.join(f'p{j}' for j in range(i))}) THEN degree - {k} + {i} ELSE t{i} END AS p{i}" if i else "t0 AS p0")
+                steps[-1] = f"{drawn} AS t{i}, {steps[-1]}"
+            rows = f"SELECT f.batch, f.block, f.node AS src, f.local AS parent, r.start, r.degree, {', '.join(steps).replace('(src)::', '(f.node)::')} FROM {frontier} f JOIN (SELECT src, min(eid) AS start, count(*) AS degree FROM e GROUP BY src) r ON r.src = f.node"
+            places = f"SELECT *, unnest(CASE WHEN degree <= {k} THEN range(degree) ELSE [{', '.join(f'p{j}' for j in range(k))}] END) AS place FROM ({rows})"
+            body = f"SELECT t.batch, t.block, t.src, e.dst, e.eid, t.parent, e.ts FROM ({places}) t JOIN e ON e.eid = t.start + t.place"
         else:
             if c.max_degree is not None and (c.weighted or c.temporal == "uniform"):
                 base = f"SELECT * FROM ({base}) QUALIFY row_number() OVER (PARTITION BY batch, block, src ORDER BY {key(chr(39) + 'cap' + chr(39), 'eid')}, eid) <= {c.max_degree}"
