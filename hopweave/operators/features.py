@@ -57,10 +57,11 @@ def bf16_roundtrip(features: DataFrame) -> DataFrame:
 def coalesce_spans(spans: DataFrame, per: list[str], row_bytes: int, granule: int, most: int) -> DataFrame:
     """spans(per..., start) of row_bytes each, rounded out to `granule` and cut at `most`: merged spans lo, hi and how many each holds."""
     rounded = spans.select(*per, (F.floor(F.col("start") / granule) * granule).cast("bigint").alias("lo"), F.least(F.ceil((F.col("start") + row_bytes) / granule) * granule, F.lit(most)).cast("bigint").alias("hi"))
+    rounded = rounded.groupBy(*per, "lo", "hi").agg(F.count("*").alias("n"))  # no ties for the windows
     order = Window.partitionBy(*per).orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = rounded.withColumn("new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*per, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").cast("bigint").alias("rows")).drop("island")
+    return island.groupBy(*per, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").cast("bigint").alias("rows")).drop("island")
 
 
 def delta_lengths(edges: DataFrame) -> DataFrame:

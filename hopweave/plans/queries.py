@@ -338,7 +338,7 @@ def int8_decode(spark, sf_dir):
     return rows.select("id", F.posexplode("x").alias("i", "x")).select("id", F.col("i").cast("bigint").alias("i"), F.col("x").cast("double").alias("x"))
 
 
-@query("WITH st AS (SELECT DISTINCT o_custkey % 8 AS part, o_orderkey * 256 AS start FROM orders WHERE o_orderkey % 5 = 0), r AS (SELECT part, start // 4096 * 4096 AS lo, least((start + 256 + 4095) // 4096 * 4096, 200000000) AS hi FROM st), p AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY part ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r), i AS (SELECT *, sum(new) OVER (PARTITION BY part ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM p) SELECT part, min(lo) AS lo, max(hi) AS hi, count(*) AS rows FROM i GROUP BY part, island")
+@query("WITH st AS (SELECT DISTINCT o_custkey % 8 AS part, o_orderkey * 256 AS start FROM orders WHERE o_orderkey % 5 = 0), r AS (SELECT part, start // 4096 * 4096 AS lo, least((start + 256 + 4095) // 4096 * 4096, 200000000) AS hi, count(*) AS n FROM st GROUP BY ALL), p AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY part ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r), i AS (SELECT *, sum(new) OVER (PARTITION BY part ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM p) SELECT part, min(lo) AS lo, max(hi) AS hi, sum(n)::BIGINT AS rows FROM i GROUP BY part, island")
 def coalesce_spans(spark, sf_dir):
     starts = tables.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((F.col("o_custkey") % 8).alias("part"), (F.col("o_orderkey") * 256).alias("start")).distinct()
     return features.coalesce_spans(starts, ["part"], 256, 4096, 200_000_000)
