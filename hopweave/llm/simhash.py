@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, blocks: in
 
 
 #: Words of 64 bits that estimate a similarity; bits that may differ in the first at once, and the margin in all, in standard errors.
-LANES, FIRST_RADIUS, MARGIN = 16, 16, 0.7
+LANES, FIRST_RADIUS, MARGIN = 16, 19, 1.75
 #: Rows of a shard of a band.
 BAND_ROWS = 30_000
 
