@@ -11,29 +11,15 @@ from pyspark.sql import functions as F
 
 from hopweave.graph import Graph, from_edges
 from hopweave.operators import structure
+from hopweave.sources.store import load_graph, save_graph
 from hopweave.sources.tables import edge_list
 
 
-def save(graph: Graph, path: str, force: bool = False) -> None:
-    """edges and a metadata row; the committer makes each atomic."""
-    mode = "overwrite" if force else "errorifexists"
-    graph.edges.repartitionByRange("src").sortWithinPartitions("src", "eid").write.mode(mode).parquet(f"{path}/edges")
-    graph.edges.sparkSession.createDataFrame([(graph.num_nodes, graph.num_dst)], "num_nodes bigint, num_dst bigint").coalesce(1).write.mode(mode).parquet(f"{path}/meta")
-
-
-def load(spark: SparkSession, path: str, validate: bool = True) -> Graph:
-    meta = spark.read.parquet(f"{path}/meta").head()
-    graph = Graph(spark.range(meta["num_nodes"]), spark.read.parquet(f"{path}/edges"), meta["num_nodes"], meta["num_dst"])
-    if validate:
-        graph.validate()
-    return graph
-
-
 def convert(spark: SparkSession, source: str, target: str, delimiter: str | None = None, skip_lines: int = 0, num_nodes: int | None = None, force: bool = False) -> Graph:
     rows = edge_list(spark, source, delimiter, skip_lines, num_nodes).persist()
     n = num_nodes if num_nodes is not None else (rows.agg(F.max(F.greatest("src", "dst"))).head()[0] or -1) + 1
-    save(from_edges(rows, n, ["line"]), target, force)
-    return load(spark, target)
+    save_graph(from_edges(rows, n, ["line"]), target, force)
+    return load_graph(spark, target)
 
 
 def info(graph: Graph) -> dict:
@@ -65,7 +51,7 @@ def main(args: list[str] | None = None) -> int:
         if given.command == "convert":
             out = info(convert(spark, given.source, given.target, given.delimiter, given.skip_lines, given.num_nodes, given.force))
         else:
-            out = {"info": info, "stats": stats}[given.command](load(spark, given.path))
+            out = {"info": info, "stats": stats}[given.command](load_graph(spark, given.path))
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1
