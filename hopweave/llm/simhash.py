@@ -13,7 +13,8 @@ Rows with the same fingerprint are grouped first; leaves whose share of the samp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -110,9 +111,9 @@ def route(nodes: list, mask: int, radius: int, fps: np.ndarray) -> Iterator[tupl
             todo.append((child, who[visits], (home & lives)[visits]))
 
 
-def forest(lanes: np.ndarray, home: np.ndarray, visitors: np.ndarray, mask: int, block_radius: int, radius: int, total: int | None = None) -> np.ndarray:
+def forest(lanes: np.ndarray, home: np.ndarray, visitors: np.ndarray, mask: int, block_radius: int, radius: int) -> np.ndarray:
     """For each row of lanes (n rows of 64-bit words), the row that stands for its component, over the links between
-    rows `visitors` and rows `home`: at most `radius` bits apart in the first word and `total` in all."""
+    rows `visitors` and rows `home`: at most `radius` bits apart in the first word."""
     mask64, first = np.uint64(mask), np.ascontiguousarray(lanes[:, 0])
     root = np.arange(len(lanes))
 
@@ -131,9 +132,6 @@ def forest(lanes: np.ndarray, home: np.ndarray, visitors: np.ndarray, mask: int,
             part = v[at : at + rows]
             near = np.bitwise_count(first[part][:, None] ^ f[None, :]) <= radius
             hit, of = np.nonzero(near)
-            if total is not None and len(hit):
-                fine = np.bitwise_count(lanes[part[hit]] ^ lanes[h[of]]).sum(1, dtype=np.int64) <= total
-                hit, of = hit[fine], of[fine]
             other = part[hit] != h[of]
             hit, of = hit[other], of[other]
             for i, start, end in zip(*_groups(hit), strict=True):
@@ -216,83 +214,178 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, blocks: in
     return _classes(fps, reps, links(reps, radius, blocks, shard_rows), "fp").select("doc_id", hexed, "component_id")
 
 
-#: Words of 64 bits that estimate a similarity; bits that may differ in the first at once, and the margin in all, in standard errors.
-LANES, FIRST_RADIUS, MARGIN = 16, 19, 1.75
-#: Rows of a shard of a band.
-BAND_ROWS = 30_000
+#: Rows of a shard of a band; candidates that are compared with a row before the links found are looked at again.
+BAND_ROWS, VERIFY = 30_000, 64
 
 
-def lanes(text: bytes, words: int) -> tuple[int, np.ndarray]:
-    """The number of different word shingles of a text, and LANES independent SimHashes of their set."""
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The hashes of the different word shingles of a text, in order; a text of fewer words is one shingle, no word none."""
     tokens = text.translate(_LOWER).split()
     if not tokens:
-        return 0, np.zeros(LANES, np.uint64)
+        return np.zeros(0, np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     shingles = {digest(join(x), 42) for x in zip(*(tokens[i:] for i in range(words)), strict=False)} or {digest(join(tokens), 42)}
-    h = np.fromiter(shingles, np.uint64, len(shingles))
-    out = np.empty(LANES, np.uint64)
-    for lane in range(LANES):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[lane] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return len(shingles), out
+    return np.sort(np.fromiter(shingles, np.uint64, len(shingles)))
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id and component_id of each row of docs, over links between texts whose sets of word shingles are estimated to
-    have a Jaccard similarity of `similarity` or more.
-
-    SimHashes of sets with similarity s differ in a share acos(2s / (1 + s)) / pi of their bits (for sets of one size). A link needs at
-    most that share of LANES * 64 bits and MARGIN standard errors. Sets whose sizes differ by more than the similarity
-    allows can't be linked, so rows are dealt by bands of size, each compared with itself and the next, in shards.
-    At such a radius a vantage-point tree prunes little: the work within a band grows with the square of its rows.
-    Edge cases are those of near_duplicates().
+def _least(n, num: int, den: int):
+    """The least whole number that isn't below num / den of n."""
+    return -(-n * num // den)
+
+
+def low_rows(n, num: int, den: int):
+    """How many of its smallest hashes a set of n shows to the filter."""
+    return np.minimum(n, 2 * (n - _least(n, num, den)) + 1)
+
+
+def low_shared(n, num: int, den: int):
+    """How many of them other sets must show too, if one of those is similar.
+
+    Sets with similarity num / den share at least _least(n) of the larger one's hashes. Of the two shown runs one ends
+    first; all but n - _least(n) of its hashes are shared, and those lie within the other run as well. The bound grows
+    with n, so the smallest size that a partner may have gives the least.
     """
+    m = _least(n, num, den)
+    return np.minimum(_least(m, num, den), m - _least(m, num, den) + 1)
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [lanes(t or b"", words) for t in as_bytes(batch.column(1))]
-        cols = np.stack([g[1] for g in got]).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), *[pa.array(np.ascontiguousarray(cols[:, i])) for i in range(LANES)]], ["doc_id", "n", *names])
-
-    names = [f"l{i}" for i in range(LANES)]
-    typed = ", ".join(f"{x} long" for x in names)
-    fps = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda: step, f"doc_id long, n long, {typed}")
-    fps = materialize(fps.withColumn("id", F.xxhash64("n", *names)), "lanes")
-    reps = fps.groupBy("id", "n", *names).agg(F.min("doc_id").alias("least"))
-    width = float(np.log(1 / similarity))
-    reps = materialize(reps.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / width + 1e-9).cast("int")), "bands")
-    # one count for each band: at most a few hundred, as sizes of texts go
-    salts = {r["band"]: -(-r["count"] // band_rows) for r in reps.groupBy("band").count().collect()}
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = 64 * LANES
-    total = int(share * bits + MARGIN * (share * (1 - share) * bits) ** 0.5)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            band, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            own = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            for b in np.unique(band).tolist():
-                rows = np.flatnonzero(band == b)
-                for to in (b, b - 1):
-                    for salt in range(salts.get(to, 0)):
-                        home = (own[rows] % np.uint64(salts[to]) == salt) & (to == b)
-                        part = batch.take(pa.array(rows))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), (to << 20) | salt, np.int64)), pa.array(home), *part.columns[1:]], ["shard", "home", "id", *names])
+def size_bands(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
+    """The first size of each band; partners of sizes in one band are in this, the next or the one before."""
+    first = [0, 1]
+    while first[-1] < most:
+        first.append(first[-1] * den // num + 1)
+    return np.array(first)
+
+
+def jaccard_forest(sets: list[np.ndarray], home: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set, the one that stands for its component, over links of Jaccard similarity num / den or more between
+    a set of `home` and any other.
+
+    Sets that are similar share one of their n - _least(n) + 1 rarest hashes: these give the candidates, and all
+    hashes decide. Candidates in one component already aren't compared.
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    root = np.arange(len(n))
+    if not n.sum():
+        return root
+    ends = np.cumsum(n)
+    starts = ends - n
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    often, code = np.sort(often), rank[code]
+    of = np.repeat(np.arange(len(n)), n)
+    code = code[np.lexsort((code, of))]
+    shown = (np.arange(len(code)) - starts[of] < (n - _least(n, num, den) + 1)[of]) & (often[code] > 1)
+    by = np.flatnonzero(shown)[np.argsort(code[shown], kind="stable")]
+    posted, keys = of[by], code[by]
+    value, first, last = _groups(keys)
+    at = dict(zip(value.tolist(), zip(first.tolist(), last.tolist(), strict=True), strict=True))
+
+    def find(i: np.ndarray) -> np.ndarray:
+        r = root[i]
+        while (root[r] != r).any():
+            r = root[r]
+        root[i] = r
+        return r
+
+    seen, mark = np.zeros(len(n), bool), np.zeros(len(often), bool)
+    for x in np.flatnonzero(home).tolist():
+        mine = code[starts[x] : ends[x]]
+        seen[:] = False
+        for c in mine[shown[starts[x] : ends[x]]].tolist():
+            a, b = at[c]
+            seen[posted[a:b]] = True
+        y = np.flatnonzero(seen)
+        y = y[(y != x) & ~(home[y] & (y < x)) & (np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num)]
+        mark[mine] = True
+        while len(y := y[find(y) != find(np.array([x]))]):
+            part, y = y[:VERIFY], y[VERIFY:]
+            both = np.array([np.count_nonzero(mark[code[starts[i] : ends[i]]]) for i in part.tolist()])
+            near = part[both * den >= num * (n[part] + n[x] - both)]
+            if len(near):
+                tops = np.unique(find(np.append(near, x)))
+                root[tops] = tops[0]
+        mark[mine] = False
+    return find(np.arange(len(n)))
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_rows: int = BAND_ROWS) -> DataFrame:
+    """doc_id and component_id of each row of docs, over links between texts whose sets of word shingles have a Jaccard
+    similarity of `similarity` or more.
+
+    Rows with equal sets are grouped. Sets whose sizes differ by more than the similarity allows can't be linked, so
+    rows are dealt by bands of size, each compared with itself and the next, in shards. First each set shows its
+    smallest hashes, cut to 32 bits: where too few of them occur in another set (low_shared()), no set is similar, and
+    equal cuts of unequal hashes only let more pass. Sets that pass are made again from the text, dealt in the same
+    way, and each link is decided by all 64-bit hashes. No link is lost and none is added, but for equal hashes of
+    unequal shingles. Edge cases are those of near_duplicates().
+    """
+    exact = Fraction(str(similarity))
+    num, den = exact.numerator, exact.denominator
+    bands = size_bands(num, den)
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def ids(sets: list[np.ndarray]) -> pa.Array:
+        return pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64))
+
+    def show(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t or b"", words) for t in as_bytes(batch.column(1))]
+        n = np.array([len(x) for x in sets], np.int64)
+        low = [(x[:k] >> np.uint64(32)).astype("<u4").tobytes() for x, k in zip(sets, low_rows(n, num, den).tolist(), strict=True)]
+        band = np.searchsorted(bands, n, "right").astype(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(band), ids(sets), pa.array(low, pa.binary())], ["doc_id", "t", "n", "band", "id", "low"])
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t or b"", words) for t in as_bytes(batch.column(0))]
+        n = np.array([len(x) for x in sets], np.int64)
+        band = np.searchsorted(bands, n, "right").astype(np.int64)
+        return pa.RecordBatch.from_arrays([ids(sets), pa.array(n), pa.array(band), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["id", "n", "band", "hashes"])
+
+    def in_shards(rows: DataFrame, data: str, join: Callable, schema: str) -> DataFrame:
+        # one count for each band: at most a few hundred, as sizes of texts go
+        salts = {r["band"]: -(-r["count"] // band_rows) for r in rows.groupBy("band").count().collect()}
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                band, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                own = (own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                for b in np.unique(band).tolist():
+                    at = np.flatnonzero(band == b)
+                    part = batch.take(pa.array(at))
+                    for to in (b, b - 1):
+                        for salt in range(salts.get(to, 0)):
+                            home = (own[at] % np.uint64(salts[to]) == salt) & (to == b)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), (to << 20) | salt, np.int64)), pa.array(home), *part.columns[1:]], ["shard", "home", "id", "n", data])
+
+        dealt = rows.select("band", "id", "n", data).mapInArrow(deal, f"shard long, home boolean, id long, n long, {data} binary")
+        return dealt.repartition(max(parts, 2 * sum(salts.values())), "shard").groupBy("shard").applyInPandas(join, schema)
+
+    def may_link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        low = [np.frombuffer(x, "<u4") for x in pdf["low"]]
+        of = np.repeat(np.arange(len(low)), [len(x) for x in low])
+        _, code, often = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+        shared = np.bincount(of[often[code] > 1], minlength=len(low))
+        n = pdf["n"].to_numpy()
+        return pd.DataFrame({"id": pdf["id"].to_numpy()[(n > 0) & (shared >= low_shared(n, num, den))]})
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        words64 = np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64)
-        ids = pdf["id"].to_numpy()
-        top = forest(words64, np.flatnonzero(pdf["home"]), np.arange(len(ids)), (1 << 64) - 1, FIRST_RADIUS, FIRST_RADIUS, total)
-        joined = top != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[joined], "b": ids[top[joined]]})
-
-    dealt = reps.select("band", "id", *names).mapInArrow(deal, f"shard long, home boolean, id long, {typed}")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * sum(salts.values()))
-    found = dealt.repartition(parts, "shard").groupBy("shard").applyInPandas(join, "a long, b long")
-    return _classes(fps, reps, found, "id").select("doc_id", "component_id")
+        pdf = pdf.drop_duplicates("id")
+        same = pdf["id"].to_numpy()
+        top = jaccard_forest([np.frombuffer(x, "<u8") for x in pdf["hashes"]], pdf["home"].to_numpy(bool), num, den)
+        joined = top != np.arange(len(same))
+        return pd.DataFrame({"a": same[joined], "b": same[top[joined]]})
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    fps = materialize(map_batches(given, lambda: show, "doc_id long, t long, n long, band long, id long, low binary"), "shown")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("one")
+    reps = materialize(fps.groupBy("id", "n", "band", "low").agg(one).select("id", "n", "band", "low", F.col("one.doc_id").alias("least"), F.col("one.t").alias("t")), "bands")
+    passed = materialize(in_shards(reps, "low", may_link, "id long").distinct(), "passed")
+    wanted = reps.join(passed, "id", "left_semi").select(F.col("least").alias("doc_id"), "t")
+    chosen = given.alias("g").join(wanted.alias("w"), F.expr("g.t = w.t and g.doc_id <=> w.doc_id"), "left_semi").select("text")
+    sets = materialize(map_batches(chosen, lambda: whole, "id long, n long, band long, hashes binary"), "sets")
+    return _classes(fps.select("doc_id", "id"), reps.select("id", "least"), in_shards(sets, "hashes", join, "a long, b long"), "id").select("doc_id", "component_id")
 
 
 def _classes(fps: DataFrame, reps: DataFrame, edges: DataFrame, key: str) -> DataFrame:

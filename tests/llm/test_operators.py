@@ -444,3 +444,33 @@ def test_similar_texts_leave_one(spark, odd, none):
     assert simhash.drop_similar(none).count() == 0 and simhash.drop_similar(odd).columns == odd.columns
     kept = sorted(r["doc_id"] for r in simhash.drop_similar(odd).where("doc_id is not null").collect())
     assert len(kept) == len(set(kept)) and 5 in kept and 6 not in kept
+
+
+def edited(seed, n, at):
+    """A text of n different words, and the same with new words at the given places."""
+    words = [f"w{seed}x{i}" for i in range(n)]
+    return " ".join(words), " ".join(f"new{w}" if i in at else w for i, w in enumerate(words))
+
+
+def test_no_pair_of_similar_texts_is_lost(spark):
+    # 4 of 5, 8 of 10, 12 of 15, 20 of 25, 80 of 100 and 400 of 500 shingles in common: each similarity is 0.8
+    pairs = [(" ".join(w[:-k]), " ".join(w)) for i, k in enumerate((1, 2, 3, 5, 20, 100)) for j in range(20) for w in [[f"p{i}x{j}x{m}" for m in range(5 * k + 4)]]]
+    docs = spark.createDataFrame([(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)], "doc_id bigint, text string").repartition(3)
+    for rows in (simhash.BAND_ROWS, 7):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, band_rows=rows).collect()}
+        assert got == {i: i - i % 2 for i in range(2 * len(pairs))}
+
+
+def test_similar_components_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for family in range(25):
+        w = [f"f{family}x{i}" for i in range(int(rng.integers(1, 120)))]
+        for _ in range(8):
+            texts.append(" ".join("z" + str(rng.integers(1 << 40)) if rng.random() < 0.02 else x for x in w[: max(1, len(w) - int(rng.integers(0, 6)))]))
+    sets = [{" ".join(w[m : m + 5]) for m in range(len(w) - 4)} or {t} for t in texts for w in [t.split()]]
+    want = classes(len(texts), [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for rows in (simhash.BAND_ROWS, 11):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, band_rows=rows).collect()}
+        assert [got[i] for i in range(len(texts))] == want
