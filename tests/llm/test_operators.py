@@ -461,6 +461,15 @@ def test_no_pair_of_similar_texts_is_lost(spark):
         assert got == {i: i - i % 2 for i in range(2 * len(pairs))}
 
 
+def test_no_text_that_is_less_similar_is_linked(spark):
+    # one word of 39 changed: 30 of 40 shingles in common; and texts contained in others: 300 of 400
+    pairs = [edited(i, 39, {15}) for i in range(40)] + [(" ".join(w[:304]), " ".join(w)) for j in range(40) for w in [[f"c{j}x{m}" for m in range(404)]]]
+    sets = [[{" ".join(w[m : m + 5]) for m in range(len(w) - 4)} for t in pair for w in [t.split()]] for pair in pairs]
+    assert all(0.7 < len(a & b) / len(a | b) < 0.8 for a, b in sets)
+    docs = spark.createDataFrame([(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)], "doc_id bigint, text string")
+    assert all(r["doc_id"] == r["component_id"] for r in simhash.similar(docs).collect())
+
+
 def test_similar_components_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     texts = []

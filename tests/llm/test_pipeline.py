@@ -59,6 +59,13 @@ def test_one_of_each_group_stays(stages):
     assert left and all(near[x] for x in set(ids) - left)
 
 
+def test_each_document_that_goes_has_a_partner(stages):
+    before = {r["doc_id"]: shingles(r["text"]) for r in stages[1].collect()}
+    gone = before.keys() - {r["doc_id"] for r in stages[2].collect()}
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    assert gone and all(any(j != i and alike(before[i], x) for j, x in before.items()) for i in gone)
+
+
 def test_secrets_are_masked(stages):
     before, after = ({r["doc_id"]: r for r in s.collect()} for s in stages[2:4])
     assert before.keys() == after.keys()
