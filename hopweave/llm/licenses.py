@@ -49,21 +49,21 @@ def terms(line: str) -> list[str]:
 
 
 VOCABULARY = frozenset(t for notes in TEMPLATES.values() for note in notes for t in terms(note))
+_PAIRS = frozenset(tuple(t.split(" ")) for t in VOCABULARY if " " in t)
 #: Every notice has one of these words, so a line without one matches none.
 ANCHORS = frozenset("license licensed redistribution redistribute copying rights domain permission mit compliance terms unencumbered".split())
 _ANCHORED = re.compile("|".join(sorted(ANCHORS))).search
 
 
 def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
-    """Over all texts: in how many each term of the templates occurs, and how many texts there are. At most len(VOCABULARY) rows."""
+    """Over all texts: in how many each term of the templates occurs, on any line or over two, and how many texts there are. At most len(VOCABULARY) rows."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = Counter()
         for text in batch.column(0).to_pylist():
-            low = text.lower()
-            for line in set(low.split("\n")):
-                if _ANCHORED(line):
-                    found.update(VOCABULARY.intersection(terms(line)))
+            words = _TERM.findall(text.lower())
+            found.update(VOCABULARY.intersection(words))
+            found.update(map(" ".join, _PAIRS.intersection(zip(words, words[1:], strict=False))))
         return pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], ["term", "n"])
 
     counted = map_batches(docs.select(F.coalesce("text", F.lit("")).alias("text")), lambda: step, "term string, n long")
@@ -71,10 +71,10 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
 
 
 class Matcher:
-    """Sparse cosines of a line to the templates, through an inverted index of their terms. Terms of no template weigh 1 each."""
+    """Sparse cosines of a line to the templates, through an inverted index of their terms. Terms of no template weigh as if no text had them."""
 
     def __init__(self, frequencies: dict[str, int], n: int):
-        self.idf: Callable[[str], float] = lambda t: 1.0 + math.log((n + 1) / (frequencies.get(t, 0) + 1)) if t in VOCABULARY else 1.0
+        self.idf: Callable[[str], float] = lambda t: 1.0 + math.log((n + 1) / (frequencies.get(t, 0) + 1))
         self.index: dict[str, list[tuple[int, float]]] = {}
         self.names: list[str] = []
         for name, notes in TEMPLATES.items():

@@ -452,6 +452,14 @@ def edited(seed, n, at):
     return " ".join(words), " ".join(f"new{w}" if i in at else w for i, w in enumerate(words))
 
 
+def test_licence_terms_count_once_for_each_text(spark):
+    texts = ["the license\nthis mit license\nthat license", "this software\nof the", "limit of the license", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found, n = licenses.document_frequencies(docs)
+    assert n == 4 and (found["license"], found["the"], found["of"], found["of the"], found["this software"], found["mit license"]) == (2, 3, 2, 2, 1, 1)
+    assert min(licenses.Matcher(found, n).idf(t) for t in found) >= 1 and licenses.Matcher(found, n).idf("unheard") > 2
+
+
 def test_no_pair_of_similar_texts_is_lost(spark):
     # 4 of 5, 8 of 10, 12 of 15, 20 of 25, 80 of 100 and 400 of 500 shingles in common: each similarity is 0.8
     pairs = [(" ".join(w[:-k]), " ".join(w)) for i, k in enumerate((1, 2, 3, 5, 20, 100)) for j in range(20) for w in [[f"p{i}x{j}x{m}" for m in range(5 * k + 4)]]]
