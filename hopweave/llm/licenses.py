@@ -1,8 +1,8 @@
 """Licence scans: lines of headers and licence files against templates, then inheritance down a tree of directories.
 
 Each template is a set of weighted terms: words and word pairs by term frequency and inverse document frequency, which
-is counted over all documents. Each line of a text is compared by sparse cosine with every template that shares a
-term, the best above a threshold is the document's own licence. A file that is a licence by name, or by its
+is counted over all documents. Lines, their sentences, blocks of lines and whole texts are compared by sparse cosine
+with every template that shares a term, the best above a threshold is the document's own licence. A file that is a licence by name, or by its
 text being little else, gives its licence to its directory; a document without a licence of its own
 inherits from the nearest ancestor directory that has one, by a join of each directory's ancestors.
 """
@@ -37,9 +37,25 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("free and unencumbered software released into the public domain",),
     "Proprietary": ("all rights reserved proprietary and confidential", "unauthorized copying of this file is strictly prohibited"),
 }
+#: Headers as projects print them, over several lines; whole licence files.
+_GNU = "free software you can redistribute it and or modify it under the terms of the gnu {k}general public license as published by the free software foundation either version {v} of the license or at your option any later version"
+HEADERS = {
+    "GPL-3.0": _GNU.format(k="", v="3"), "GPL-2.0": _GNU.format(k="", v="2"), "LGPL-3.0": _GNU.format(k="lesser ", v="3"), "AGPL-3.0": _GNU.format(k="affero ", v="3"),
+    "Apache-2.0": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0",
+    "MPL-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2.0",
+}
+FULL_TEXTS = {
+    "MIT": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "BSD-3-Clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+}
 #: A line's least cosine; words that a licence file may hold beside matched lines, as a share; names of licence files.
 LEAST, OTHER_WORDS = 0.72, 0.2
+#: Cosine of a whole text from which it is a licence file: other terms have at most a fifth of its squared weight.
+LEAST_FILE = 0.9
+_SENTENCES = re.compile(r"(?<=[a-z)\d])\.\s+|;\s+")
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-_].*)?$"
+#: What stands before and behind the words of a comment's line.
+_MARKS = re.compile(r"^\s*(?:/\*+|\*+/|<!--|//+[/!]?|\*+|#+|--+|;+|%+|\.\.|dnl\b|rem\b)?\s*|\s*(?:\*+/|-->)?\s*$", re.IGNORECASE)
 _TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)?")
 
 
@@ -48,7 +64,8 @@ def terms(line: str) -> list[str]:
     return [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]
 
 
-VOCABULARY = frozenset(t for notes in TEMPLATES.values() for note in notes for t in terms(note))
+NOTICES = [(name, note) for name, notes in TEMPLATES.items() for note in notes] + [*HEADERS.items(), *FULL_TEXTS.items()]
+VOCABULARY = frozenset(t for _, note in NOTICES for t in terms(note))
 _PAIRS = frozenset(tuple(t.split(" ")) for t in VOCABULARY if " " in t)
 #: Every notice has one of these words, so a line without one matches none.
 ANCHORS = frozenset("license licensed redistribution redistribute copying rights domain permission mit compliance terms unencumbered".split())
@@ -77,11 +94,10 @@ class Matcher:
         self.idf: Callable[[str], float] = lambda t: 1.0 + math.log((n + 1) / (frequencies.get(t, 0) + 1))
         self.index: dict[str, list[tuple[int, float]]] = {}
         self.names: list[str] = []
-        for name, notes in TEMPLATES.items():
-            for note in notes:
-                for t, w in self.vector(note).items():
-                    self.index.setdefault(t, []).append((len(self.names), w))
-                self.names.append(name)
+        for name, note in NOTICES:
+            for t, w in self.vector(note).items():
+                self.index.setdefault(t, []).append((len(self.names), w))
+            self.names.append(name)
 
     def vector(self, line: str) -> dict[str, float]:
         counts = Counter(terms(line))
@@ -98,25 +114,41 @@ class Matcher:
         return (best[1], self.names[best[0]]) if best else (0.0, None)
 
     def text(self, text: str) -> tuple[str | None, float, bool]:
-        """The licence of the best line, its cosine, and whether the text is little else than matched lines."""
+        """The licence of the best line, sentence, block of lines or whole text, its cosine, and whether the text is little
+        else than matched lines and blocks. Blocks are joined without comment marks; a line without words ends them."""
         best, name, words, matched = 0.0, None, 0, 0
         seen: dict[str, tuple[float, str | None]] = {}
         if not _ANCHORED(text.lower()):
             return None, 0.0, False
-        for line in text.split("\n"):
+
+        def score(part: str) -> float:
+            nonlocal best, name
+            if part not in seen:
+                seen[part] = self.line(part) if _ANCHORED(part.lower()) else (0.0, None)
+            if seen[part][0] >= LEAST and seen[part][0] > best:
+                best, name = seen[part]
+            return seen[part][0]
+
+        def parts(line: str) -> list[str]:
+            # a notice may stand within a longer line: its sentences are tried too
+            return [line, *_SENTENCES.split(line)]
+
+        lines, blocks = text.split("\n"), [[]]
+        for line in lines:
+            bare = _MARKS.sub("", line)
             n = len(line.split())
             words += n
-            if not _ANCHORED(line.lower()):
+            if not bare:
+                blocks.append([])
                 continue
-            # a notice may stand within a longer line: its sentences are tried too
-            for part in (line, *re.split(r"(?<=[a-z)\d])\.\s+|;\s+", line)):
-                if part not in seen:
-                    seen[part] = self.line(part) if _ANCHORED(part.lower()) else (0.0, None)
-                score, found = seen[part]
-                if score >= LEAST and score > best:
-                    best, name = score, found
-            matched += n * (seen[line][0] >= LEAST)
-        return name, best, name is not None and words - matched <= OTHER_WORDS * words
+            hit = _ANCHORED(line.lower()) is not None and [score(part) for part in parts(line)][0] >= LEAST
+            blocks[-1].append((bare, n, hit))
+        for block in blocks:
+            joined = " ".join(bare for bare, _, _ in block)
+            whole = len(block) > 1 and _ANCHORED(joined.lower()) is not None and [score(part) for part in parts(joined)][0] >= LEAST
+            matched += sum(n for _, n, hit in block if hit or whole)
+        file = score(" ".join(bare for block in blocks for bare, _, _ in block))
+        return name, best, name is not None and (file >= LEAST_FILE or words - matched <= OTHER_WORDS * words)
 
 
 def own_licenses(docs: DataFrame) -> DataFrame:

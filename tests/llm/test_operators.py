@@ -460,6 +460,24 @@ def test_licence_terms_count_once_for_each_text(spark):
     assert min(licenses.Matcher(found, n).idf(t) for t in found) >= 1 and licenses.Matcher(found, n).idf("unheard") > 2
 
 
+def test_wrapped_headers_and_full_texts():
+    matcher = licenses.Matcher({}, 1000)
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version {v} of the License, or
+(at your option) any later version."""
+    for v in "32":
+        for mark in ("", "# ", " * ", "// "):
+            head = "\n".join(mark + x for x in gpl.format(v=v).split("\n"))
+            name, score, is_text = matcher.text(f"/*\n{mark}A program\n{mark}\n{head}\n */\nint main() {{\n" + "  work();\n" * 50 + "}")
+            assert (name, is_text) == (f"GPL-{v}.0", False) and score > 0.8
+    mit = "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + licenses.FULL_TEXTS["MIT"].replace("subject to", "subject\nto").replace(" the above", "\n\nThe above").replace(" the software is provided", "\n\nTHE SOFTWARE IS PROVIDED")
+    assert matcher.text(mit)[::2] == ("MIT", True) and matcher.text(mit + " code" * 400)[2] is False
+    bsd = "Copyright 2020 Jane Doe\n\n" + licenses.FULL_TEXTS["BSD-3-Clause"].replace(" this list", "\nthis list")
+    assert matcher.text(bsd)[::2] == ("BSD-3-Clause", True)
+    assert matcher.text("you have a license to drive\nand all other rights\nin life") == (None, 0.0, False)
+
+
 def test_no_pair_of_similar_texts_is_lost(spark):
     # 4 of 5, 8 of 10, 12 of 15, 20 of 25, 80 of 100 and 400 of 500 shingles in common: each similarity is 0.8
     pairs = [(" ".join(w[:-k]), " ".join(w)) for i, k in enumerate((1, 2, 3, 5, 20, 100)) for j in range(20) for w in [[f"p{i}x{j}x{m}" for m in range(5 * k + 4)]]]
