@@ -34,6 +34,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Alphabets by size, as Python classes.
 ENCODINGS = tuple((name, re.compile(f"[{chars}]+=*").fullmatch, size) for name, chars, size in (("hex", "0-9a-f", 16), ("hex_upper", "0-9A-F", 16), ("base32", "A-Z2-7", 32), ("base36", "0-9a-z", 36), ("base36_upper", "0-9A-Z", 36), ("base62", "0-9A-Za-z", 62), ("base64", "0-9A-Za-z+/", 64), ("base64_url", "0-9A-Za-z_-", 64)))
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Their symbols in order of rank.
+_SYMBOLS = {"hex": _DIGITS + _LOWER[:6], "hex_upper": _DIGITS + _UPPER[:6], "base32": _UPPER + _DIGITS[2:8], "base36": _DIGITS + _LOWER, "base36_upper": _DIGITS + _UPPER, "base62": _DIGITS + _UPPER + _LOWER, "base64": _DIGITS + _UPPER + _LOWER + "+/", "base64_url": _DIGITS + _UPPER + _LOWER + "-_"}
+_RANKS = {name: {c: i for i, c in enumerate(symbols)} for name, symbols in _SYMBOLS.items()}
 #: Rate at which neighbouring characters of ordinary identifiers change class; level of the fit tests; of false discoveries.
 CHANGE_RATE, FIT_LEVEL, FDR = 0.12, 1e-3, 0.01
 #: Lower ends of the length classes; bins of -log10 p, so many to one; the most bins.
@@ -74,16 +78,16 @@ def randomness(token: str) -> float | None:
     if found is None:
         return None
     size, n = found[2], len(body)
-    # symbols by rank in ASCII order within the alphabet, folded to cells of 5 draws or more
-    if found[0].startswith("hex"):
-        rank = [int(c, 16) for c in body]
-    else:
-        rank = [ord(c) - 48 if c.isdigit() else 10 + ord(c.upper()) - 65 + 26 * (c.islower() and size > 36) if c.isalpha() else size - 1 for c in body]
+    # symbols by rank within the alphabet, folded to as many cells as give 5 draws each on average
+    rank = [_RANKS[found[0]][c] for c in body]
     cells = max(2, min(size, n // 5))
-    counts = [0] * cells
+    counts, held = [0] * cells, [0] * cells
     for r in rank:
-        counts[min(cells - 1, r * cells // size)] += 1
-    if found[0] != "base32" and chi2_tail(sum((c - n / cells) ** 2 for c in counts) * cells / n, cells - 1) < FIT_LEVEL:
+        counts[r * cells // size] += 1
+    # where cells doesn't divide the alphabet, some cells hold a symbol more than others
+    for r in range(size):
+        held[r * cells // size] += 1
+    if chi2_tail(sum((c - n * h / size) ** 2 / (n * h / size) for c, h in zip(counts, held, strict=True)), cells - 1) < FIT_LEVEL:
         return None
     mean = sum(rank) / n
     around = sum((r - mean) ** 2 for r in rank)

@@ -452,6 +452,18 @@ def edited(seed, n, at):
     return " ".join(words), " ".join(f"new{w}" if i in at else w for i, w in enumerate(words))
 
 
+@pytest.mark.parametrize(("symbols", "n"), [("base62", 200), ("base62", 240), ("base64", 240), ("base64_url", 400), ("base36", 140), ("hex_upper", 64), ("base32", 64), ("base32", 160)])
+def test_random_tokens_of_any_length_fit_their_alphabet(symbols, n):
+    rng = random.Random(n)
+    drawn = ["".join(rng.choices(secrets._SYMBOLS[symbols], k=n)) for _ in range(1000)]
+    assert sum(secrets.randomness(t) is None for t in drawn) <= 12
+
+
+def test_uneven_base32_is_not_random():
+    rng = random.Random(1)
+    assert all(secrets.randomness("".join(rng.choices("GHIJ23", k=100))) is None for _ in range(50))
+
+
 def test_licence_terms_count_once_for_each_text(spark):
     texts = ["the license\nthis mit license\nthat license", "this software\nof the", "limit of the license", None]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
