@@ -257,7 +257,7 @@ def batch_rows(spark, sf_dir):
     n = rows.count()
     raw = tables.table(spark, sf_dir, "events").select((F.col("user_id") % n).alias("src"), (F.col("event_id") * 31 % n).alias("dst"), "event_id")
     g = graphs.from_edges(raw, n, ["event_id"])
-    seeds = loading.sequential(spark.range(64).select(F.col("id").alias("pos"), F.col("id").alias("node")), 16)
+    seeds = loading.sequential(spark.range(n).select(F.col("id").alias("pos"), F.col("id").alias("node")), 16)
     return loading.batch_rows(sampling.sample(g, seeds, Config((5, 3))), rows.select("id", "x"), rows.select("id", "label"))
 
 
@@ -384,7 +384,7 @@ def sieve_cache(spark, sf_dir):
 def _clicks_graph(spark, sf_dir):
     rows = _log(spark, sf_dir)
     n = rows.agg(F.max(F.greatest("src", "dst"))).head()[0] + 1
-    return dynamic.to_static(rows, 3, n)
+    return dynamic.to_static(rows, rows.agg(F.max("epoch")).head()[0], n)
 
 
 @query()
