@@ -2,7 +2,7 @@
 
 A source whose target is r times its size takes floor(r) whole copies of each of its documents for certain. The rest
 is a sample without replacement of fixed size, measured in words: document i has inclusion odds p/(1-p) with
-p = r - floor(r) times its own weight, draws u, and is ranked by u/(1-u) divided by those odds; the documents of
+p = r - floor(r), the same throughout a source, draws u, and is ranked by u/(1-u) divided by those odds; the documents of
 least rank are taken while the words they bring stay nearest to what is left of the target.
 
 No source is ever sorted as a whole: ranks fall into buckets that are summed before the shuffle, a running sum over
