@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -147,10 +148,76 @@ def test_toxicity_never_learns_from_held_out_rows(labelled):
 
 
 def test_grammar_composes():
-    scan = toxicity.Model({"snorble": 4.0}, {"grim": 3.0}, -3.0, 1.0).scanner()
-    plain, target, negated, reported = (scan.weight(t) for t in ("a snorble.", "you snorble.", "not a snorble.", "she said snorble."))
-    assert negated < plain < target and reported < target and scan.weight("a snorbles grimness") == scan.weight("grimness") > 0
-    assert scan.weight("I will kill you") > scan.weight("kill time") == 0 and scan.weight("") == 0
+    scan = toxicity.Model({"snorble": 4.0}, {"grim": 3.0}, (-3.0, 1.0, 0.0, 0.0)).scanner()
+    one = lambda t: sum(scan.clauses(t))
+    plain, target, negated, reported = (one(t) for t in ("a snorble.", "you snorble.", "not a snorble.", "she said snorble."))
+    assert negated < reported < plain < target == one("snorble you") and one("a snorbles grimness") == one("grimness") > 0
+    assert one("I will kill you") > one("kill time") == one("I will not kill you") == one("he said kill you") == one("") == 0
+    assert one("Sie sagte, die Katze schläft.") == one("ihr habt die Bücher gelesen") == 0 and scan.clauses("snorble. Snorble!\nsnorble") == [4.0] * 3
+
+
+def slow_clauses(text, words, beginnings):
+    """The grammar read off its description, clause by clause, looking back from each word."""
+    t, out = toxicity, []
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        tokens = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause)
+        weight = [max([words.get(w, 0), *(beginnings.get(w[:n], 0) for n in range(1, len(w) + 1))]) for w in tokens]
+        kind = ["insult" if x else next((k for k, closed in (("threat", t.THREATS), ("target", t.TARGETS), ("negation", t.NEGATIONS), ("report", t.REPORTS)) if w in closed), "") for w, x in zip(tokens, weight, strict=True)]
+        score, insult, target, spent, armed = 0.0, False, False, -1, None
+        for i, k in enumerate(kind):
+            said = "report" in kind[:i]
+            negations = [j for j in range(max(0, i - t.REACH_NEGATION), i) if kind[j] == "negation" and j > spent]
+            if k == "insult" and negations:
+                score, spent = score + t.NEGATED_WEIGHT * weight[i], i
+            elif k == "insult" and said:
+                score += t.QUOTED_WEIGHT * weight[i]
+            elif k == "insult":
+                score += weight[i] + (t.AIMED_WEIGHT if target and not insult else 0)
+                insult = True
+            elif k == "threat" and negations:
+                spent = i
+            elif k == "threat" and not said:
+                armed = i
+            elif k == "target":
+                if armed is not None and i - armed <= t.REACH_THREAT:
+                    score, armed = score + t.MENACE_WEIGHT, None
+                score += t.AIMED_WEIGHT if insult and not target else 0
+                target = True
+        if score:
+            out.append(score)
+    return out
+
+
+def test_grammar_against_a_plain_reading():
+    rng = random.Random(8)
+    words, beginnings = {"snorble": 4.0, "zark": 2.5}, {"grim": 3.0, "grimwo": 5.0}
+    scan = toxicity.Model(words, beginnings, (0.0, 1.0, 0.0, 0.0)).scanner()
+    vocabulary = ["snorble", "zark", "zarks", "grimace", "grimwox", "kill", "you", "ihr", "not", "nie", "said", "the", "cat", "and", ".", "!", "\n", "Snorble"]
+    for _ in range(4000):
+        text = " ".join(rng.choices(vocabulary, k=rng.randint(0, 14)))
+        assert scan.clauses(text) == pytest.approx(slow_clauses(text, words, beginnings)), text
+
+
+def test_composition_is_associative():
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.threat(), toxicity.target()]
+    left = toxicity.compose(toxicity.compose(toxicity.compose(*parts[:2]), parts[2]), parts[3])
+    right = toxicity.compose(parts[0], toxicity.compose(parts[1], toxicity.compose(*parts[2:])))
+    rng = random.Random(2)
+    for _ in range(500):
+        a = b = 0
+        for symbol in rng.choices(range(toxicity.END + 1), k=30):
+            (a, *said), (b, *other) = left.arc(a, symbol), right.arc(b, symbol)
+            assert said == other
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_toxic_documents_of_every_language_are_found(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.scores(docs, toxicity.train(docs, labels)).where("held_out").join(labels.where("toxic is not null"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in {r["lang"] for r in rows}:
+        toxic = [r["predicted"] for r in rows if r["lang"] == lang and r["toxic"]]
+        clean = [r["predicted"] for r in rows if r["lang"] == lang and not r["toxic"]]
+        assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
 def test_toxicity_odd_rows(spark, odd, none, labelled):
@@ -159,7 +226,7 @@ def test_toxicity_odd_rows(spark, odd, none, labelled):
         model = toxicity.train(docs, marks)
         assert toxicity.scores(docs, model).count() == docs.count()
         assert all(0 <= r["score"] <= 1 for r in toxicity.scores(docs, model).collect())
-    assert toxicity.drop_toxic(odd, toxicity.Model({}, {}, -2.0, 0.0)).columns == odd.columns
+    assert toxicity.drop_toxic(odd, toxicity.Model({}, {}, (-2.0, 0.0, 0.0, 0.0))).columns == odd.columns
 
 
 # 4
