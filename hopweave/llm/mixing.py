@@ -1,12 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions alone.
 
-A source whose target is r times its size takes floor(r) whole copies of each of its documents for certain. The rest
-is a sample without replacement of fixed size, measured in words: document i has inclusion odds p/(1-p) with
-p = r - floor(r), the same throughout a source, draws u, and is ranked by u/(1-u) divided by those odds; the documents of
-least rank are taken while the words they bring stay nearest to what is left of the target.
-
-No source is ever sorted as a whole: ranks fall into buckets that are summed before the shuffle, a running sum over
-the buckets finds the one in which the target is met, and only that bucket's documents are ordered.
+Within a source a document's expected copies fall with the square root of its size, so that the mix doesn't repeat very
+long documents as often as short ones: c / sqrt(size), MOST at most, where c is such that the expected words are the
+source's target. Whole copies are taken for certain. What is left of a document's expected copies is its inclusion
+probability p for one more; these differ from document to document. It draws u, and is ranked by the odds u/(1-u) over the
+odds p/(1-p): the documents of least rank are the sample. Its fixed size is measured in words: documents are taken in order
+while they fit into what is left of the target, and the last place goes to that document, of all others, whose size is nearest
+to the words still missing.
+
+No source is ever sorted as a whole. c comes from sums by size; ranks fall into buckets that are summed before the shuffle, a
+running sum over the buckets finds the one in which the target is met, and only that bucket's documents are ordered. Ranks
+near the cut are as dense as if they were uniform or less, so a bucket there holds no more than its share of rows.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from hopweave.llm.common import WORD, materialize
 BUCKET_ROWS = 20_000
 #: Rows of a side that may be broadcast.
 BROADCAST_ROWS = 100_000
-#: A target stops at so many times its source's size.
+#: A target stops at so many times its source's size, and a document's copies too.
 MOST = 3
+#: Square roots of sizes are summed as whole numbers, of so many to one: sums are the same in any order.
+ROOT_SCALE = 1024
 
 
 def word_count(text) -> F.Column:
@@ -61,44 +67,96 @@ def if_small(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
+def _by_source(rows: DataFrame, side: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has one row per source (null too); side's source is dropped."""
+    side = side.withColumnRenamed("source", "s")
+    return rows.join(if_small(side, n), F.col("source").eqNullSafe(F.col("s")), how).drop("s")
+
+
+def root(size: str = "size") -> F.Column:
+    return F.floor(F.sqrt(F.col(size).cast("double")) * ROOT_SCALE).cast("long")
+
+
+def expected(most: int = MOST) -> F.Column:
+    """Copies expected of a row of size > 0, given its source's c."""
+    return F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.col("c") * root() / F.col("size"))).otherwise(F.lit(0.0))
+
+
+def whole(most: int = MOST) -> F.Column:
+    return F.floor(expected(most) + 1e-9).cast("long")
+
+
+def inclusion(most: int = MOST) -> F.Column:
+    """The probability of one copy more."""
+    return F.greatest(F.lit(0.0), expected(most) - whole(most))
+
+
+def rank(u: F.Column, p: F.Column) -> F.Column:
+    """Of Pareto sampling: the odds of the draw over the odds of inclusion. Null where a document can't have one copy more."""
+    return F.when(p > 1e-9, (u / (1 - u)) / (p / (1 - p)))
+
+
+def copies_scale(by_size: DataFrame, wanted: DataFrame, n: int, most: int = MOST) -> DataFrame:
+    """by_size(source, size, rows), wanted(source, target) to source, c. The short documents of a source reach `most` first:
+    c is what the others share once those before the first that doesn't reach it are taken. Null: all reach it."""
+    sized = _by_source(by_size.where("size > 0"), wanted.select("source", "target"), n).withColumns({"words": F.col("size") * F.col("rows"), "roots": root() * F.col("rows")})
+    order = Window.partitionBy("source").orderBy("size")
+    before, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    c = (F.col("target") - most * F.coalesce(F.sum("words").over(before), F.lit(0))) / F.sum("roots").over(on)
+    return sized.withColumn("c", c).where(F.col("c") * root() <= most * F.col("size")).groupBy("source").agg(F.min_by("c", "size").alias("c"))
+
+
 def plan(drawn: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
-    """From drawn(source, size, u), materialized: one row per source with source_size, target, whole (copies for
-    certain), p (inclusion probability of one more), buckets, cut_bucket and cut_u (the last rank taken), and their number."""
-    by_source = drawn.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    by_source = materialize(by_source, "sources")
-    wanted = targets(by_source.select("source", "source_size"), weights, most)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(ratio + 1e-9).cast("long")
-    per = wanted.join(by_source.select(F.col("source").alias("s"), F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows)).cast("long").alias("buckets")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    per = per.withColumns({"whole": whole, "p": F.greatest(F.lit(0.0), ratio - whole)}).withColumn("rest", F.when(F.col("p") > 1e-9, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0)))
-    per = materialize(per, "targets")
-    n = per.count()
-    side = per.select(F.col("source").alias("s"), "buckets", "p", "rest")
-    ranked = drawn.join(if_small(side, n), F.col("source").eqNullSafe(F.col("s"))).where("rest > 0").drop("s")
-    ranked = ranked.withColumn("bucket", F.floor(F.col("u") * F.col("buckets")))
+    """From drawn(source, size, u), materialized: one row per source with source_size, target, c (see expected()), buckets,
+    cut_bucket and cut_rank, cut_u (the last that fits, by rank and draw) and last_u, last_size (the last place's); and their number.
+    Rows that repeat both size and draw count as one document."""
+    by_size = materialize(drawn.groupBy("source", "size").agg(F.count("*").alias("rows")), "sizes-of-sources")
+    by_source = materialize(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("rows")), "sources")
+    n = by_source.count()
+    wanted = materialize(targets(by_source.select("source", "source_size"), weights, most), "targets")
+    scale = copies_scale(by_size, wanted, n, most)
+    per = _by_source(wanted, by_source.select("source", F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows)).cast("long").alias("buckets")), n)
+    per = _by_source(per, scale, n, "left").withColumn("c", F.coalesce("c", F.lit(float("inf"))))
+    # what certain copies leave of the target: by size, as documents of a size are alike
+    certain = _by_source(by_size, per.select("source", "c"), n).groupBy("source").agg(F.sum(whole(most) * F.col("size") * F.col("rows")).alias("certain"))
+    per = materialize(_by_source(per, certain, n).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("certain"))).drop("certain"), "rest")
+    ranked = _by_source(drawn.where("size > 0"), per.select("source", "c", "buckets", "rest"), n).withColumn("rank", rank(F.col("u"), inclusion(most))).where("rank is not null and rest > 0")
+    ranked = ranked.withColumn("bucket", bucket())
     sums = ranked.groupBy("source", "bucket", "rest").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).where("before < rest and before + words >= rest")
-    cut = cut.groupBy("source").agg(F.min("bucket").alias("cut_bucket"), F.min_by("before", "bucket").alias("before"))
-    cut = materialize(cut, "cuts")
-    inner = ranked.join(if_small(cut.select(F.col("source").alias("s"), "cut_bucket", "before"), n), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("cut_bucket")))
-    # odds of the draw over odds of inclusion: the order of Pareto sampling
-    rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    tied = inner.groupBy("source", "u", "p", "rest", "before").agg(F.sum("size").alias("words")).withColumn("rank", rank)
-    order = Window.partitionBy("source").orderBy("rank", "u").rowsBetween(Window.unboundedPreceding, -1)
-    taken = tied.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(order), F.lit(0))).where(F.col("before") + F.col("words") / 2 < F.col("rest"))
-    last = taken.groupBy("source").agg(F.max("u").alias("cut_u"))
-    cut = cut.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "cut_bucket", F.coalesce("cut_u", F.lit(-1.0)).alias("cut_u"))
-    full = per.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "rest", "buckets", "cut_bucket", "cut_u")
+    cut = sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).where("before <= rest and before + words > rest")
+    cut = materialize(cut.groupBy("source").agg(F.min("bucket").alias("cut_bucket"), F.min_by("before", "bucket").alias("before")), "cuts")
+    inner = _by_source(ranked, cut, n).where("bucket = cut_bucket")
+    tied = inner.groupBy("source", "rank", "u", "rest", "before").agg(F.sum("size").alias("words"))
+    order = Window.partitionBy("source").orderBy("rank", "u").rowsBetween(Window.unboundedPreceding, 0)
+    taken = tied.withColumn("upto", F.col("before") + F.sum("words").over(order)).where("upto <= rest").groupBy("source").agg(F.max_by(F.struct("rank", "u", "upto"), F.struct("rank", "u")).alias("t"))
+    cut = _by_source(cut, taken, n, "left").select("source", "cut_bucket", F.coalesce("t.rank", F.lit(-1.0)).alias("cut_rank"), F.coalesce("t.u", F.lit(-1.0)).alias("cut_u"), F.coalesce("t.upto", "before").alias("got"))
+    cut = materialize(cut, "cut")
+    # the last place: of all documents behind the cut, that which brings the words nearest to the target
+    others = _by_source(ranked, cut, n).where(~taken_by_rank()).groupBy("source", "rank", "u", "size", "rest", "got").agg(F.count("*").alias("n"))
+    missing = F.col("rest") - F.col("got")
+    others = others.withColumn("off", F.abs(F.col("n") * F.col("size") - missing)).where(F.col("off") < missing)
+    last = others.groupBy("source").agg(F.min(F.struct("off", "rank", "u", "size")).alias("l")).select("source", F.col("l.u").alias("last_u"), F.col("l.size").alias("last_size"))
+    full = _by_source(_by_source(per, cut.drop("got"), n, "left"), last, n, "left")
     return materialize(full, "plan"), n
 
 
-def with_copies(drawn: DataFrame, per: DataFrame, n: int) -> DataFrame:
+def bucket() -> F.Column:
+    """Of a rank among its source's buckets: rank / (1 + rank) is even around the cut."""
+    return F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * F.col("buckets")), F.col("buckets") - 1)
+
+
+def taken_by_rank() -> F.Column:
+    here = (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("u") <= F.col("cut_u")))
+    return F.col("cut_bucket").isNull() | (F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & here)
+
+
+def with_copies(drawn: DataFrame, per: DataFrame, n: int, most: int = MOST) -> DataFrame:
     """drawn and its source's source_size, target, and the copies that the mix takes of each row."""
-    bucket = F.floor(F.col("u") * F.col("buckets"))
-    more = (F.col("rest") > 0) & (F.col("cut_bucket").isNull() | (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & (F.col("u") <= F.col("cut_u"))))
-    side = per.withColumnRenamed("source", "s")
-    return drawn.join(if_small(side, n), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0)).drop("s", "whole", "rest", "buckets", "cut_bucket", "cut_u")
+    rows = _by_source(drawn, per, n).withColumns({"rank": rank(F.col("u"), inclusion(most)), "whole": whole(most)}).withColumn("bucket", bucket())
+    last = F.coalesce((F.col("u") == F.col("last_u")) & (F.col("size") == F.col("last_size")), F.lit(False))
+    more = F.col("rank").isNotNull() & (F.col("rest") > 0) & (taken_by_rank() | last)
+    return rows.withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0)).select(*drawn.columns, "source_size", "target", "copies")
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -108,9 +166,10 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
 def mix_plan(docs: DataFrame, seed: int = 17, **params) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of docs.
 
-    Null texts and texts without words have size 0 and so take 0; null sources are one source, the last. Rows that
-    repeat both doc_id and text draw alike and are taken together. Draws come from a digest, so reruns agree on any
-    cluster. An empty table, or one without words, takes nothing. Other columns are ignored, whatever they are called.
+    Whole texts are counted, however long; null texts and texts without words have size 0 and so take 0; null sources are one
+    source, the last. Rows that repeat both doc_id and text draw alike and are taken together; other ties in rank go by the
+    draw. Draws come from a digest, so reruns agree on any cluster. An empty table, or one without words, takes nothing. Other
+    columns are ignored, whatever they are called.
     """
     drawn = sized(docs, seed)
     out = with_copies(drawn, *plan(drawn, **params))
@@ -121,6 +180,6 @@ def mixed(docs: DataFrame, seed: int = 17, **params) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs. See mix_plan()."""
     per, n = plan(sized(docs, seed), **params)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    row = docs.select(F.struct(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)]).alias("row"), "source", draw(docs, seed).alias("u"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)]).alias("row"), "source", word_count(F.col("text")).alias("size"), draw(docs, seed).alias("u"))
     many = with_copies(row, per, n).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
     return many.select(*[F.col("row")[k].alias(c) for c, k in zip(docs.columns, names, strict=True)])

@@ -33,11 +33,15 @@ r AS (SELECT *, sum(source_size) OVER () - {MOST} * coalesce(sum(source_size) OV
 o AS (SELECT *, min(place) FILTER (left_::DOUBLE * w / left_w <= {MOST} * source_size) OVER () AS first_ FROM r),
 h AS (SELECT *, max(CASE WHEN place = first_ THEN left_::DOUBLE / left_w END) OVER () AS share FROM o),
 t AS (SELECT source, source_size, CASE WHEN first_ IS NULL OR place < first_ THEN {MOST}.0::DOUBLE * source_size ELSE share * w END AS target FROM h),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM t),
-p2 AS (SELECT *, floor(ratio + 1e-9)::BIGINT AS whole FROM p),
-p3 AS (SELECT *, CASE WHEN greatest(0.0, ratio - whole) > 1e-9 THEN target - whole * source_size ELSE 0.0 END AS rest FROM p2),
-g AS (SELECT d.source, d.u, any_value(rest) AS rest, sum(size) AS words FROM d JOIN p3 ON p3.source IS NOT DISTINCT FROM d.source WHERE rest > 0 GROUP BY d.source, d.u),
-k AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
-SELECT d.doc_id, d.size, p3.source_size, p3.target, (d.size * (p3.whole + CASE WHEN k.before + k.words / 2 < k.rest THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN p3 ON p3.source IS NOT DISTINCT FROM d.source LEFT JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.u = d.u
+z AS (SELECT d.source, d.size, floor(sqrt(d.size::DOUBLE) * 1024)::BIGINT AS r, any_value(t.target) AS target, sum(d.size)::BIGINT AS words, (count(*) * floor(sqrt(d.size::DOUBLE) * 1024)::BIGINT)::BIGINT AS roots FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source WHERE d.size > 0 GROUP BY d.source, d.size),
+zc AS (SELECT *, (target - {MOST} * coalesce(sum(words) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT) / (sum(roots) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT::DOUBLE AS c FROM z),
+k AS (SELECT source, min_by(c, size) AS c FROM zc WHERE c * r <= {MOST} * size GROUP BY source),
+e AS (SELECT row_number() OVER () AS id, d.*, t.source_size, t.target, CASE WHEN d.size > 0 THEN least({MOST}.0::DOUBLE, coalesce(k.c, 'infinity'::DOUBLE) * floor(sqrt(d.size::DOUBLE) * 1024)::BIGINT / d.size) ELSE 0.0::DOUBLE END AS copies FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN k ON k.source IS NOT DISTINCT FROM d.source),
+f AS (SELECT *, floor(copies + 1e-9::DOUBLE)::BIGINT AS whole, greatest(0.0::DOUBLE, copies - floor(copies + 1e-9::DOUBLE)) AS p, greatest(0.0::DOUBLE, target - sum(floor(copies + 1e-9::DOUBLE)::BIGINT * size) OVER (PARTITION BY source)) AS rest FROM e),
+g AS (SELECT source, u, size, any_value(rest) AS rest, (u / (1 - u)) / (any_value(p) / (1 - any_value(p))) AS rank, sum(size)::BIGINT AS words FROM f WHERE size > 0 AND p > 1e-9::DOUBLE AND rest > 0 GROUP BY source, u, size),
+n AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY rank, u ROWS UNBOUNDED PRECEDING) AS upto FROM g),
+got AS (SELECT source, any_value(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS missing FROM n GROUP BY source),
+l AS (SELECT n.source, arg_min({{'u': u, 'size': size}}, {{'a': abs(words - missing), 'b': rank, 'c': u}}) AS last_ FROM n JOIN got ON got.source IS NOT DISTINCT FROM n.source WHERE upto > rest AND abs(words - missing) < missing GROUP BY n.source)
+SELECT f.doc_id, f.size, f.source_size, f.target, (f.size * (f.whole + CASE WHEN n.upto <= n.rest OR (l.last_.u = f.u AND l.last_.size = f.size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM f LEFT JOIN n ON n.source IS NOT DISTINCT FROM f.source AND n.u = f.u AND n.size = f.size AND f.p > 1e-9::DOUBLE LEFT JOIN l ON l.source IS NOT DISTINCT FROM f.source AND n.u IS NOT NULL
 """

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import os
 import random
 import re
@@ -250,13 +251,61 @@ def test_mix_is_near_its_targets_at_any_bucket_size(spark, odd, none):
         assert taken <= 3 * size and taken % max(size, 1) == 0
         by[source[doc]].append((taken, target))
     for rows in by.values():
-        assert abs(sum(t for t, _ in rows) - rows[0][1]) <= 65
+        assert abs(sum(t for t, _ in rows) - rows[0][1]) <= 10
     many = mixing.mixed(docs)
     assert many.columns == docs.columns and many.count() == sum(taken // size for _, size, _, _, taken in plans[0])
     assert mixing.mix_plan(odd).count() == len(ODD) and mixing.mix_plan(none).count() == 0
     assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(none).count() == 0
 
 
+def slow_mix(rows, target, most=3):
+    """Of one source: rows (size, u, copies of the row) to copies taken of each, with c found by bisection."""
+    expected = lambda c: [min(most, c * math.floor(math.sqrt(s) * 1024) / s) if s else 0 for s, _, _ in rows]
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(e * s * n for e, (s, _, n) in zip(expected(c), rows, strict=True)) < target else (low, c)
+    whole = [math.floor(e + 1e-6) for e in expected(high)]
+    left = target - sum(w * s * n for w, (s, _, n) in zip(whole, rows, strict=True))
+    odds = lambda x: x / (1 - x)
+    ranked = sorted((odds(u) / odds(e - w), u, s * n, i) for i, (e, w, (s, u, n)) in enumerate(zip(expected(high), whole, rows, strict=True)) if e - w > 1e-6)
+    at = 0
+    while at < len(ranked) and ranked[at][2] <= left:
+        left -= ranked[at][2]
+        whole[ranked[at][3]] += 1
+        at += 1
+    off, _, _, i = min(((abs(size - left), rank, u, i) for rank, u, size, i in ranked[at:]), default=(math.inf, 0, 0, 0))
+    if off < left:
+        whole[i] += 1
+    return whole
+
+
+@pytest.mark.parametrize("bucket_rows", [20_000, 7])
+def test_mix_against_plain_order_sampling(spark, bucket_rows):
+    rng = random.Random(4)
+    docs = [(i, " ".join(["w"] * int(rng.paretovariate(0.9) * 9)), rng.choice("aab")) for i in range(240)]
+    docs += [*docs[:9], (300, None, "a"), (301, " ", "b"), (302, "x " * 3000, "b")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(3)
+    drawn = {(r["doc_id"], r["source"]): (r["size"], r["u"]) for r in mixing.sized(frame, 17).collect()}
+    assert {k: v[0] for k, v in drawn.items()} == {(i, s): len((t or "").split()) for i, t, s in docs}
+    got = {(r["doc_id"], r["size"]): (r["taken"], r["target"]) for r in mixing.mix_plan(frame, bucket_rows=bucket_rows).collect()}
+    for source in "ab":
+        keys = [k for k in drawn if k[1] == source]
+        rows = [(*drawn[k], sum(d[0] == k[0] for d in docs)) for k in keys]
+        target = got[keys[0][0], rows[0][0]][1]
+        want = slow_mix(rows, target)
+        assert [got[k[0], r[0]][0] for k, r in zip(keys, rows, strict=True)] == [w * r[0] for w, r in zip(want, rows, strict=True)]
+
+
+def test_shorter_documents_are_taken_more_often(spark):
+    # 300 sources of six texts of 10 words and six of 90: 2.5 copies and 0.83 are expected, and the mix gives about as many
+    docs = spark.createDataFrame([(12 * s + i, "w " * (10 if i < 6 else 90), f"s{s}") for s in range(300) for i in range(12)], "doc_id bigint, text string, source string")
+    rows = mixing.mix_plan(docs, weights=(1,)).collect()
+    mean = {n: sum(r["taken"] for r in rows if r["size"] == n) / n / 1800 for n in (10, 90)}
+    assert abs(mean[10] - 2.5) < 0.2 and abs(mean[90] - 5 / 6) < 0.05
+    assert {r["taken"] // 10 for r in rows if r["size"] == 10} == {2, 3} and {r["taken"] // 90 for r in rows if r["size"] == 90} == {0, 1}
+
+
 # 5
 
 
