@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control.
 
 A token of 20 or more characters of the base64 alphabets that mixes letters and digits is a candidate. Its encoding
-is inferred: the smallest of the alphabets below that holds all its characters. Two tests ask whether it fits random
-draws from that alphabet: chi-squared uniformity over the alphabet (few cells: the alphabet is folded to as many cells
-as the length can fill) and serial correlation of neighbouring symbols. A runs test asks whether it fits ordinary
-text: the number of changes between small letters, capitals, digits and marks is compared with a binomial of
-the rate at which ordinary identifiers change. A candidate that passes the first two keeps the p-value of the third.
+is inferred: the smallest of the alphabets below that holds all its characters. Three statistics are taken: chi-squared of
+uniformity over the alphabet (few cells: the alphabet is folded to as many cells as the length can fill), the serial
+correlation of neighbouring symbols, and the number of runs of small letters, capitals, digits and marks. Each is tested
+against ordinary text, a chain of classes that changes at a low rate and draws letters as often as English has them: how
+likely is it that ordinary text of this length and alphabet looks so random? Their normal scores are added, as of tests with a
+correlation of TESTS_ALIKE, to one p-value for each candidate. A candidate that random draws themselves would hardly give
+(FIT_LEVEL, by uniformity or by correlation) is no candidate.
 
 False discoveries: tests of longer tokens are stronger, so candidates fall into length classes and each class has its own
 Benjamini-Hochberg threshold over all candidates of the corpus, from a histogram of fixed size of their p-values.
@@ -16,7 +18,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import lru_cache
+from statistics import NormalDist
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +43,19 @@ _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHI
 #: Their symbols in order of rank.
 _SYMBOLS = {"hex": _DIGITS + _LOWER[:6], "hex_upper": _DIGITS + _UPPER[:6], "base32": _UPPER + _DIGITS[2:8], "base36": _DIGITS + _LOWER, "base36_upper": _DIGITS + _UPPER, "base62": _DIGITS + _UPPER + _LOWER, "base64": _DIGITS + _UPPER + _LOWER + "+/", "base64_url": _DIGITS + _UPPER + _LOWER + "-_"}
 _RANKS = {name: {c: i for i, c in enumerate(symbols)} for name, symbols in _SYMBOLS.items()}
-#: Rate at which neighbouring characters of ordinary identifiers change class; level of the fit tests; of false discoveries.
-CHANGE_RATE, FIT_LEVEL, FDR = 0.12, 1e-3, 0.01
+#: Rate at which neighbouring characters of ordinary identifiers change class; level of the fit tests; of false discoveries;
+#: correlation that the tests are taken to have; the largest normal score of one test.
+CHANGE_RATE, FIT_LEVEL, FDR, TESTS_ALIKE, MOST_SCORE = 0.12, 1e-3, 0.01, 0.5, 8.0
+#: Shares of small letters, capitals, digits and marks in ordinary identifiers. How often English has a to z, in percent.
+SHARES = (0.78, 0.08, 0.12, 0.02)
+LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.07)
 #: Lower ends of the length classes; bins of -log10 p, so many to one; the most bins.
 LENGTHS, PER_DECADE, BINS = (20, 32, 48, 80), 4, 160
 
 
+_NORMAL = NormalDist()
+
+
 def chi2_tail(x: float, df: int) -> float:
     """P(chi-squared of df degrees > x), by the Wilson-Hilferty cube root."""
     z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
@@ -68,8 +80,43 @@ def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def randomness(token: str) -> float | None:
-    """The p-value of a candidate under ordinary text, or None where it doesn't look like random draws."""
+@lru_cache(maxsize=None)
+def _ordinary(encoding: str) -> tuple[np.ndarray, float]:
+    """Of an alphabet in ordinary text: how often each symbol occurs, and the correlation of neighbours."""
+    symbols = _SYMBOLS[encoding]
+    kinds = np.array([_class(c) for c in symbols])
+    often = np.array([LETTERS[ord(c.lower()) - 97] if c.isalpha() else 1.0 for c in symbols])
+    share = np.zeros(len(symbols))
+    for k in set(kinds.tolist()):
+        share[kinds == k] = SHARES[k] * often[kinds == k] / often[kinds == k].sum()
+    share /= share.sum()
+    rank, weight = np.arange(len(symbols)), np.array([share[kinds == k].sum() for k in range(4)])
+    mean = float(share @ rank)
+    between = sum(w * (float(share[kinds == k] @ rank[kinds == k]) / w - mean) ** 2 for k, w in enumerate(weight) if w)
+    stays = max(0.0, 1 - CHANGE_RATE / max(1e-9, 1 - float(weight @ weight)))
+    return share, stays * between / float(share @ (rank - mean) ** 2)
+
+
+@lru_cache(maxsize=None)
+def _cells(encoding: str, cells: int) -> tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]:
+    """Of an alphabet folded to cells: the share of each in random draws, and mean and variance of chi-squared in ordinary
+    text, each as a constant and what every symbol adds."""
+    share = _ordinary(encoding)[0]
+    of = np.arange(len(share)) * cells // len(share)
+    # where cells doesn't divide the alphabet, some cells hold a symbol more than others
+    u, q = np.bincount(of, minlength=cells) / len(share), np.bincount(of, share, cells)
+    far = (q - u) / u
+    return tuple(u.tolist()), (float((q * (1 - q) / u).sum()), float((far * (q - u)).sum())), (2.0 * (cells - 1), 4 * float(q @ far**2 - (q @ far) ** 2))
+
+
+def _z(p: float) -> float:
+    """The normal score of an upper tail."""
+    return MOST_SCORE if p <= 0 else min(MOST_SCORE, -_NORMAL.inv_cdf(min(max(p, 1e-300), 1 - 1e-16)))
+
+
+def battery(token: str) -> tuple[float, float, float] | None:
+    """Normal scores of a candidate against ordinary text (larger: more random), by uniformity, serial correlation and runs;
+    None where it is no candidate or random draws would hardly give it."""
     body = token.rstrip("=")
     classes = [_class(c) for c in body]
     if 2 not in classes or not ({0, 1} & set(classes)):
@@ -77,24 +124,35 @@ def randomness(token: str) -> float | None:
     found = next((x for x in ENCODINGS if x[1](token)), None)
     if found is None:
         return None
-    size, n = found[2], len(body)
+    name, size, n = found[0], found[2], len(body)
     # symbols by rank within the alphabet, folded to as many cells as give 5 draws each on average
-    rank = [_RANKS[found[0]][c] for c in body]
+    rank = [_RANKS[name][c] for c in body]
     cells = max(2, min(size, n // 5))
-    counts, held = [0] * cells, [0] * cells
+    counts = [0] * cells
     for r in rank:
         counts[r * cells // size] += 1
-    # where cells doesn't divide the alphabet, some cells hold a symbol more than others
-    for r in range(size):
-        held[r * cells // size] += 1
-    if chi2_tail(sum((c - n * h / size) ** 2 / (n * h / size) for c, h in zip(counts, held, strict=True)), cells - 1) < FIT_LEVEL:
+    random, mean_of, variance = _cells(name, cells)
+    chi2 = sum((c - n * u) ** 2 / (n * u) for c, u in zip(counts, random, strict=True))
+    if chi2_tail(chi2, cells - 1) < FIT_LEVEL:
         return None
     mean = sum(rank) / n
     around = sum((r - mean) ** 2 for r in rank)
     serial = sum((a - mean) * (b - mean) for a, b in zip(rank, rank[1:], strict=False)) / around if around else 1.0
     if math.erfc(abs(serial) * math.sqrt(n) / math.sqrt(2)) < FIT_LEVEL:
         return None
-    return binomial_tail(sum(a != b for a, b in zip(classes, classes[1:], strict=False)), n - 1, CHANGE_RATE)
+    uniform = (mean_of[0] + n * mean_of[1] - chi2) / math.sqrt(variance[0] + n * variance[1])
+    unlike = (_ordinary(name)[1] - serial) * math.sqrt(n)
+    runs = _z(binomial_tail(sum(a != b for a, b in zip(classes, classes[1:], strict=False)), n - 1, CHANGE_RATE))
+    return tuple(max(-MOST_SCORE, min(MOST_SCORE, z)) for z in (uniform, unlike, runs))
+
+
+def randomness(token: str) -> float | None:
+    """The p-value of a candidate under ordinary text, from all tests together, or None where it is none."""
+    z = battery(token)
+    if z is None:
+        return None
+    k = len(z)
+    return 0.5 * math.erfc(sum(z) / math.sqrt(k + k * (k - 1) * TESTS_ALIKE) / math.sqrt(2))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -165,8 +223,10 @@ def corpus_thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[int, int]:
 def spans(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, base_sha256 and spans, an array of (start, kind, end) by start and kind, of each row of docs.
 
-    Positions are code points, end exclusive. A null text counts as an empty one; repeated rows and null doc_ids keep
-    their rows; an empty table gives an empty table. Other columns are ignored, whatever they are called.
+    Positions are code points, end exclusive; whole texts are scanned, however long. A null text counts as an empty one; repeated
+    rows and null doc_ids keep their rows; spans of two kinds that start together stand in the order of KINDS; a token whose
+    p-value ties with the threshold is a secret. An empty table gives an empty table, and a table without candidates has base
+    spans alone. Other columns are ignored, whatever they are called.
     """
     scanned = materialize(scan(docs), "secrets")
     least = corpus_thresholds(scanned, fdr)
@@ -192,7 +252,9 @@ def redact(docs: DataFrame, fdr: float = FDR, mask: str = "[SECRET]") -> DataFra
     """docs with each secret in text replaced by mask and n_chars, where docs has it, brought up to date.
 
     The thresholds come from a scan of all rows first; the second pass finds the spans again from the text, so no text
-    is joined or shuffled. Every row stays; a null text stays null.
+    is joined or shuffled. Every row stays, by its own text alone: repeated and null doc_ids make no difference; a null text
+    stays null, an empty one empty, and very long texts are masked to their end. Spans that overlap leave one mask. An empty table
+    gives an empty table.
     """
     least = corpus_thresholds(materialize(scan(docs).select("found"), "candidates"), fdr)
 

@@ -97,6 +97,53 @@ def test_randomness_battery_tells_random_from_names():
     assert abs(secrets.chi2_tail(3.84, 1) - 0.05) < 0.01 and secrets.binomial_tail(0, 5, 0.1) == 1 and abs(secrets.binomial_tail(2, 2, 0.5) - 0.25) < 1e-12
 
 
+def test_ordinary_text_is_seldom_called_random():
+    rng, s = random.Random(11), secrets
+    pools = ["".join(chr(97 + i) for i in range(26)), "".join(chr(65 + i) for i in range(26)), "0123456789"]
+    found = []
+    for n in [24] * 2000 + [48] * 1000:
+        kind, out = 0, ""
+        for _ in range(n):
+            if rng.random() < s.CHANGE_RATE:
+                kind = rng.choice([k for k in range(3) if k != kind])
+            out += rng.choices(pools[kind], s.LETTERS if kind < 2 else None)[0]
+        p = s.randomness(out)
+        found.append(1.0 if p is None else p)
+    assert np.mean(np.array(found) < 0.01) < 0.02 and np.mean(np.array(found) < 1e-4) < 0.002
+
+
+def test_all_tests_count():
+    rng = random.Random(3)
+    token = "".join(rng.choices(secrets._SYMBOLS["base62"], k=60))
+    assert all(z > 0 for z in secrets.battery(token))
+    # the same symbols in order of their classes: one run each, and neighbours alike
+    ordered = "".join(sorted(token[:40]))
+    assert (got := secrets.randomness(ordered)) is None or got > secrets.randomness(token[:40])
+
+
+def test_random_spans_against_plain_benjamini_hochberg(spark):
+    rng = random.Random(21)
+    texts = []
+    for i in range(120):
+        drawn = "".join(rng.choices(secrets._SYMBOLS["base62"], k=rng.choice([20, 24, 36, 50, 90])))
+        plain = "".join(rng.choice(["report", "Value", "user", "Data", "list", "2", "17", "name"]) for _ in range(rng.randint(5, 12)))
+        texts.append(f"é {plain} then {drawn if i % 3 else plain} end")
+    found = []  # text, start, end, length class, p-value rounded down in quarters of a decade
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            p = secrets.randomness(m[0])
+            if p is not None and not any(a < m.end() and m.start() < b for a, _, b in slow_base(t)):
+                n = m.end() - m.start()
+                found.append((i, m.start(), m.end(), (n >= 32) + (n >= 48) + (n >= 80), 10 ** -(min(160, int(-math.log10(max(p, 1e-300)) * 4)) / 4)))
+    want = set()
+    for k in range(4):
+        ps = sorted(f[4] for f in found if f[3] == k)
+        cut = max((p for j, p in enumerate(ps, 1) if p <= 0.01 * sum(x <= p for x in ps) / len(ps) and p < 1), default=0)
+        want |= {(i, a, b) for i, a, b, c, p in found if c == k and p <= cut}
+    got = {(r["doc_id"], s["start"], s["end"]) for r in secrets.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect() for s in r["spans"] if s["kind"] == 3}
+    assert got == want and len(want) > 40
+
+
 def test_thresholds_control_false_discoveries():
     assert secrets.thresholds({}) == {}
     assert secrets.thresholds({(0, 1): 1000}) == {}
