@@ -17,6 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 
 #: Rows whose texts a Python worker holds as objects at once.
 SLICE = 512
+#: Rows of a side that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local master gets a temporary one; on a
+    cluster that is an error, as executors would write to disks of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="hopweave-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -44,6 +49,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(side: DataFrame, rows: int) -> DataFrame:
+    """A hint to broadcast a side of known row count only while it is small; otherwise Spark chooses another join."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function that make() builds once in each task and that gets at most SLICE rows at a time."""
 

@@ -18,12 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import WORD, materialize
+from hopweave.llm.common import WORD, if_small, materialize
 
 #: Documents that one bucket of ranks should hold.
 BUCKET_ROWS = 20_000
-#: Rows of a side that may be broadcast.
-BROADCAST_ROWS = 100_000
 #: A target stops at so many times its source's size, and a document's copies too.
 MOST = 3
 #: Square roots of sizes are summed as whole numbers, of so many to one: sums are the same in any order.
@@ -62,11 +60,6 @@ def draw(docs: DataFrame, seed: int) -> F.Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def if_small(side: DataFrame, rows: int) -> DataFrame:
-    """A hint to broadcast a side of known row count only while it is small; otherwise Spark chooses another join."""
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
-
-
 def _by_source(rows: DataFrame, side: DataFrame, n: int, how: str = "inner") -> DataFrame:
     """rows joined with side, which has one row per source (null too); side's source is dropped."""
     side = side.withColumnRenamed("source", "s")

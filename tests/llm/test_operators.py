@@ -632,7 +632,55 @@ def test_licence_terms_count_once_for_each_text(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     found, n = licenses.document_frequencies(docs)
     assert n == 4 and (found["license"], found["the"], found["of"], found["of the"], found["this software"], found["mit license"]) == (2, 3, 2, 2, 1, 1)
-    assert min(licenses.Matcher(found, n).idf(t) for t in found) >= 1 and licenses.Matcher(found, n).idf("unheard") > 2
+    matcher = licenses.Matcher(found, n)
+    assert min(matcher.idf.values()) >= 1 and matcher.unknown > 2
+
+
+def slow_cosine(words, frequencies, n):
+    """The greatest cosine to a template, by dense vectors over all terms."""
+    idf = lambda t: 1 + math.log((n + 1) / (frequencies.get(t, 0) + 1))
+    terms = lambda w: Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))])
+    known = {t for _, note in licenses.NOTICES for t in terms(note)}
+    vectors = [terms(words), *(terms(note) for _, note in licenses.NOTICES)]
+    axes = sorted({t for v in vectors for t in v})
+    dense = np.array([[v[t] * idf(t if t in known else "\0") for t in axes] for v in vectors])
+    norms = np.sqrt((dense**2).sum(1))
+    return max((dense[1:] @ dense[0]) / (norms[1:] * max(norms[0], 1e-12)))
+
+
+@pytest.mark.parametrize("frequencies", [{}, {"the": 900, "of": 800, "of the": 300, "license": 40, "under": 90, "to": 700, "and": 850, "software": 9}])
+def test_licences_against_dense_vectors(frequencies):
+    matcher, rng = licenses.Matcher(frequencies, 1000), random.Random(6)
+    notes = [note for _, note in licenses.NOTICES if len(note) < 70]
+    found = 0
+    for i in range(100):
+        words = [w for w in rng.choice(notes) if rng.random() > 0.15 * (i % 5)]
+        for _ in range(rng.randint(0, 6)):
+            words.insert(rng.randint(0, len(words)), rng.choice(["the", "of", "program", "license", "mit", "strange", "words", "words"]))
+        if i % 3 == 0:
+            rng.shuffle(words)
+        want = slow_cosine(words, frequencies, 1000) if words else 0.0
+        assert matcher.best(words)[0] == pytest.approx(want if want >= licenses.LEAST else 0.0)
+        found += want >= licenses.LEAST
+    assert 15 < found < 95
+
+
+def test_notices_without_the_usual_words():
+    matcher = licenses.Matcher({}, 1000)
+    assert matcher.text("Some prose.\nyou may not use this file except in line with it\nand more")[0] == "Apache-2.0"
+    assert matcher.text("This work is a Creative Commons Attribution 4.0 International")[0] == "CC-BY-4.0"
+
+
+def test_only_licence_texts_make_licence_files(spark):
+    matcher = licenses.Matcher({}, 1000)
+    assert matcher.text("Licensed under the Apache License, Version 2.0.")[::2] == ("Apache-2.0", False)
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n" + "Terms follow here and go on.\n" * 300
+    assert matcher.text(gpl)[::2] == ("GPL-3.0", True)
+    apache = "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n" + "1. Definitions and so on.\n" * 200
+    assert matcher.text(apache)[::2] == ("Apache-2.0", True)
+    rows = [(1, "a/b/1.txt", "Licensed under the Apache License, Version 2.0."), (2, "a/b/2.txt", "prose"), (3, "c/3.txt", gpl), (4, "c/d/4.txt", "prose")]
+    got = {r["id"]: r["final"] for r in licenses.with_inheritance(spark.createDataFrame(rows, "id bigint, path string, text string")).collect()}
+    assert got == {1: "Apache-2.0", 2: None, 3: "GPL-3.0", 4: "GPL-3.0"}
 
 
 def test_wrapped_headers_and_full_texts():
