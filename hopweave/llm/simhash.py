@@ -204,14 +204,15 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 2, shard_rows: int = SH
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links, for every row.
 
-    Null or empty texts have fingerprint zero and link like any other; repeated rows stay repeated; a null doc_id
+    Whole texts are read, however long; rows with equal fingerprints are always linked, and of equal doc_ids any is the smallest. Null or empty texts have fingerprint zero and link like any other; repeated rows stay repeated; a null doc_id
     keeps its row and takes part, but is never the smallest (a component of null doc_ids alone has null). An empty
     table gives an empty table. Other columns are ignored, whatever they are called.
     """
     fps = materialize(fingerprints(docs, words), "fingerprints")
     reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return _classes(fps, reps, links(reps, radius, blocks, shard_rows), "fp").select("doc_id", hexed, "component_id")
+    labels = materialize(components(links(reps, radius, blocks, shard_rows), "links"), "labels")
+    return _classes(fps, reps, labels, "fp").select("doc_id", hexed, "component_id")
 
 
 #: Rows of a shard of a band; candidates that are compared with a row before the links found are looked at again.
@@ -310,16 +311,16 @@ def jaccard_forest(sets: list[np.ndarray], home: np.ndarray, num: int, den: int)
     return find(np.arange(len(n)))
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id and component_id of each row of docs, over links between texts whose sets of word shingles have a Jaccard
-    similarity of `similarity` or more.
+def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame]:
+    """doc_id, t (the text's digest) and id (of its set of word shingles) of each row of docs; and labels(node, root) of the
+    ids that are linked: those whose sets have a Jaccard similarity of `similarity` or more.
 
     Rows with equal sets are grouped. Sets whose sizes differ by more than the similarity allows can't be linked, so
     rows are dealt by bands of size, each compared with itself and the next, in shards. First each set shows its
     smallest hashes, cut to 32 bits: where too few of them occur in another set (low_shared()), no set is similar, and
     equal cuts of unequal hashes only let more pass. Sets that pass are made again from the text, dealt in the same
     way, and each link is decided by all 64-bit hashes. No link is lost and none is added, but for equal hashes of
-    unequal shingles. Edge cases are those of near_duplicates().
+    unequal shingles.
     """
     exact = Fraction(str(similarity))
     num, den = exact.numerator, exact.denominator
@@ -379,18 +380,29 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_rows:
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     fps = materialize(map_batches(given, lambda: show, "doc_id long, t long, n long, band long, id long, low binary"), "shown")
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("one")
-    reps = materialize(fps.groupBy("id", "n", "band", "low").agg(one).select("id", "n", "band", "low", F.col("one.doc_id").alias("least"), F.col("one.t").alias("t")), "bands")
+    reps = materialize(fps.groupBy("id", "n", "band", "low").agg(_first()).select("id", "n", "band", "low", "one.doc_id", "one.t"), "bands")
     passed = materialize(in_shards(reps, "low", may_link, "id long").distinct(), "passed")
-    wanted = reps.join(passed, "id", "left_semi").select(F.col("least").alias("doc_id"), "t")
+    wanted = reps.join(passed, "id", "left_semi").select("doc_id", "t")
     chosen = given.alias("g").join(wanted.alias("w"), F.expr("g.t = w.t and g.doc_id <=> w.doc_id"), "left_semi").select("text")
     sets = materialize(map_batches(chosen, lambda: whole, "id long, n long, band long, hashes binary"), "sets")
-    return _classes(fps.select("doc_id", "id"), reps.select("id", "least"), in_shards(sets, "hashes", join, "a long, b long"), "id").select("doc_id", "component_id")
+    return fps.select("doc_id", "t", "id"), materialize(components(in_shards(sets, "hashes", join, "a long, b long"), "links"), "labels")
+
+
+def _first() -> F.Column:
+    """Which row stands for others: by doc_id, nulls last, then by the text's digest."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("one")
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_rows: int = BAND_ROWS) -> DataFrame:
+    """doc_id and component_id of each row of docs, over links between texts whose sets of word shingles have a Jaccard
+    similarity of `similarity` or more. Edge cases are those of near_duplicates()."""
+    rows, labels = similar_sets(docs, words, similarity, band_rows)
+    reps = rows.groupBy("id").agg(F.min("doc_id").alias("least"))
+    return _classes(rows.select("doc_id", "id"), reps, labels, "id").select("doc_id", "component_id")
 
 
-def _classes(fps: DataFrame, reps: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+def _classes(fps: DataFrame, reps: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """fps with component_id: the smallest `least` of the reps that the links connect."""
-    labels = materialize(components(edges, "links"), "labels")
     tops = labels.join(reps, labels.node == reps[key]).groupBy("root").agg(F.min("least").alias("least"))
     lower = labels.join(tops, "root").select(F.col("node").alias(key), F.col("least").alias("linked"))
     classes = reps.join(lower, key, "left").select(key, F.coalesce("linked", "least").alias("component_id"))
@@ -398,10 +410,18 @@ def _classes(fps: DataFrame, reps: DataFrame, edges: DataFrame, key: str) -> Dat
 
 
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component of similar(): that of its smallest doc_id; columns stay as they are.
+    """docs with one row of each component of similar(); columns stay as they are.
 
-    Rows that repeat this doc_id leave one of them. Rows with a null doc_id can't be named and always stay.
+    Rows are told apart by doc_id and text: the one that stays has the smallest doc_id (nulls last), then the smallest digest
+    of its text; rows that repeat both leave one of them. A repeated doc_id with an unlike text keeps both rows. Null and empty
+    texts, and those without words, are alike and leave one; rows with a null doc_id take part like any other. Very long texts
+    are compared as a whole. An empty table gives an empty table.
     """
-    gone = similar(docs, words, similarity).where("doc_id != component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows, labels = similar_sets(docs, words, similarity)
+    roots = labels.withColumnRenamed("node", "id")
+    stays = rows.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(_first()).select("one.doc_id", "one.t")
+    # a semi-join and a grouping by one key: texts are shuffled once
+    key = "key" + "_" * max(map(len, docs.columns))
+    keys = stays.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "t").alias(key))
+    named = docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.xxhash64("text")))
+    return named.join(keys, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -605,8 +605,14 @@ def test_similar_texts_leave_one(spark, odd, none):
     left = simhash.drop_similar(docs)
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(30)) and left.columns == docs.columns
     assert simhash.drop_similar(none).count() == 0 and simhash.drop_similar(odd).columns == odd.columns
-    kept = sorted(r["doc_id"] for r in simhash.drop_similar(odd).where("doc_id is not null").collect())
-    assert len(kept) == len(set(kept)) and 5 in kept and 6 not in kept
+    # by the class of each text: nothing to compare, the long texts, and each of the others
+    left = [(r["doc_id"], r["text"]) for r in simhash.drop_similar(odd).collect()]
+    assert len(left) == len(set(left)) and {5} == {i for i, t in left if t == ODD[5][1]}
+    assert [i for i, t in left if not (t or "").split()] == [2]
+    assert (2, "another row of two") in left and (None, "no id here") in left
+    unlike = [(1, "t"), (3, "t"), (3, "other"), (5, base[0]), (5, base[1]), (None, base[1] + " end"), (None, base[2]), (None, base[2])]
+    left = simhash.drop_similar(spark.createDataFrame(unlike, "doc_id bigint, text string")).collect()
+    assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, [unlike[0], unlike[2], unlike[3], unlike[4], unlike[6]]))
 
 
 def edited(seed, n, at):
