@@ -28,13 +28,19 @@ def weighted(digest: Column, weight: Column) -> Column:
     return F.when(fine, -F.log(unit(digest)) / weight).otherwise(F.lit(float("inf")))
 
 
-def distinct(digest, n: Column, k: int) -> Column:
+def distinct(digest, n: Column, k: int | Column) -> Column:
     """k different numbers in 0..n-1 (n > k), by Floyd's method: step i draws t in 0..n-k+i and takes n-k+i where t is taken.
     digest(i) gives the draw of step i. The cost is k, whatever n."""
+    k = (k if isinstance(k, Column) else F.lit(k)).cast("bigint")
 
     def step(taken: Column, i: Column) -> Column:
         top = n - k + i
         drawn = F.transform(F.array(below(digest(i), top + 1)), lambda t: F.array_append(taken, F.when(F.array_contains(taken, t), top).otherwise(t)))
         return F.element_at(drawn, 1)
 
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")), F.array().cast("array<bigint>"), step)
+    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), k - 1), F.array().cast("array<bigint>"), step)
+
+
+def pair(first: Column, second: Column) -> Column:
+    """Two numbers, of at most 15 and 18 digits, as one that orders like them: unlike a struct, hash aggregation can take its minimum."""
+    return first.cast("decimal(15,0)") * F.lit(10**18).cast("decimal(19,0)") + second.cast("decimal(18,0)")

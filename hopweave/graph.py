@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopweave.functions.prefix import prefix_sum
+from hopweave.sources.shared import materialize
 
 #: Node ids are unsigned 32-bit with the last one reserved.
 MOST_NODES = (1 << 32) - 1
@@ -15,12 +16,15 @@ MOST_NODES = (1 << 32) - 1
 
 @dataclass(frozen=True)
 class Graph:
-    """A homogeneous graph, or a bipartite one where num_dst differs from num_nodes."""
+    """A homogeneous graph, or a bipartite one where num_dst differs from num_nodes. rows(src, start, degree): where the row
+    of each node with edges begins, and curve (see running_weights()), as far as they were made with the graph."""
 
     nodes: DataFrame
     edges: DataFrame
     num_nodes: int
     num_dst: int
+    rows: DataFrame | None = None
+    curve: DataFrame | None = None
 
     @property
     def is_homogeneous(self) -> bool:
@@ -37,8 +41,33 @@ class Graph:
     def num_edges(self) -> int:
         return self.edges.count()
 
+    def row_index(self) -> DataFrame:
+        """src, start, degree of each node with edges."""
+        if self.rows is not None:
+            return self.rows
+        return self.edges.groupBy("src").agg(F.min("eid").alias("start"), F.count("*").alias("degree"))
+
+    def running_weights(self) -> DataFrame:
+        """src, eid, dst, low, high, last: each edge's stretch of its row's running weight, and whether it is the row's last edge."""
+        if self.curve is not None:
+            return self.curve
+        row = Window.partitionBy("src").orderBy("eid")
+        weight = F.col("weight").cast("double")
+        high = self.edges.withColumn("high", F.sum(weight).over(row.rowsBetween(Window.unboundedPreceding, 0)))
+        return high.select("src", "eid", "dst", F.coalesce(F.lag("high").over(row), F.lit(0.0)).alias("low"), "high", F.lead("eid").over(row).isNull().alias("last"))
+
+    def settle(self) -> Graph:
+        """The same graph, read back from tables in the shared folder: it is built once, whatever reads it, and plans stay short."""
+        edges = materialize(self.edges, "edges")
+        return replace(self, edges=edges, rows=materialize(replace(self, edges=edges, rows=None).row_index(), "rows"), curve=None)
+
     def persist(self) -> Graph:
-        return replace(self, nodes=self.nodes.persist(), edges=self.edges.persist())
+        """Kept in memory, with its rows' index and running weights, each from its first use on."""
+        kept = replace(self, nodes=self.nodes.persist(), edges=self.edges.persist())
+        # by source over all cores: draws are made where the rows' index is
+        spread = max(self.edges.sparkSession.sparkContext.defaultParallelism, int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        kept = replace(kept, rows=kept.row_index().repartition(spread, "src").persist())
+        return replace(kept, curve=kept.running_weights().persist()) if kept.has_weights else kept
 
     def validate(self) -> None:
         """Raises ValueError naming what is out of range; one aggregate over the edges."""
@@ -56,17 +85,21 @@ class Graph:
 
 
 def from_edges(raw: DataFrame, num_nodes: int, order: list[str | Column], num_dst: int | None = None) -> Graph:
-    """raw(src, dst[, weight][, ts]) to a Graph; `order` is the input order of a source's row and has to be total."""
+    """raw(src, dst[, weight][, ts]) to a Graph; `order` is the input order of a source's row and has to be total. An edge whose
+    source is null or out of range is an error when the edges are read; destinations are checked by validate()."""
     spark = raw.sparkSession
     if not 0 <= num_nodes < MOST_NODES:
         raise ValueError(f"num_nodes {num_nodes} is out of range")
     nodes = spark.range(num_nodes).select(F.col("id").cast("bigint").alias("id"))
     kept = [c for c in ("weight", "ts") if c in raw.columns]
     offsets = prefix_sum(nodes.join(raw.groupBy(F.col("src").alias("id")).count(), "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("degree")), "id", "degree", "start")
+    rows = offsets.where("degree > 0").select(F.col("id").alias("src"), "start", "degree")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(*order)).cast("bigint") - 1
-    placed = raw.withColumn("rank", rank).join(offsets.select(F.col("id").alias("src"), "start"), "src")
-    edges = placed.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), (F.col("start") + F.col("rank")).alias("eid"), *kept)
-    return Graph(nodes, edges, num_nodes, num_nodes if num_dst is None else num_dst)
+    placed = raw.withColumn("rank", rank).join(rows.select("src", "start"), "src", "left")
+    end = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    beyond = F.raise_error(F.concat(F.lit("edge ("), end("src"), F.lit(", "), end("dst"), F.lit(f"): the source isn't in 0..{num_nodes - 1}"))).cast("bigint")
+    edges = placed.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), F.when(F.col("start").isNull(), beyond).otherwise(F.col("start") + F.col("rank")).alias("eid"), *kept)
+    return Graph(nodes, edges, num_nodes, num_nodes if num_dst is None else num_dst, rows)
 
 
 def empty(spark) -> Graph:

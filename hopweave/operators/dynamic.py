@@ -33,6 +33,18 @@ def snapshot(log: DataFrame, epoch: int) -> DataFrame:
     return log.where(F.col("epoch") <= epoch).select("src", "dst")
 
 
+def has_edges(log: DataFrame, epoch: int, wanted: DataFrame) -> DataFrame:
+    """wanted(pos, src, dst) with found: whether the snapshot of an epoch has the edge."""
+    there = snapshot(log, epoch).distinct().withColumn("there", F.lit(True))
+    return wanted.join(there, ["src", "dst"], "left").select("pos", "src", "dst", F.coalesce("there", F.lit(False)).alias("found"))
+
+
+def is_dirty(log: DataFrame, drained: int, now: int, wanted: DataFrame) -> DataFrame:
+    """wanted(pos, id) with dirty: whether an edge of the epochs after `drained`, up to `now`, touched it."""
+    touched = dirty(log, drained, now).select(F.col("node").alias("id"), F.lit(True).alias("touched"))
+    return wanted.join(touched, "id", "left").select("pos", "id", F.coalesce("touched", F.lit(False)).alias("dirty"))
+
+
 def to_static(log: DataFrame, epoch: int, num_nodes: int) -> Graph:
     """A snapshot as a graph; rows rise by destination."""
     return from_edges(snapshot(log, epoch), num_nodes, ["dst"])

@@ -2,23 +2,65 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopweave.functions.draws import below, key
+from hopweave.functions.draws import below, distinct, key, pair
+from hopweave.functions.prefix import place, prefix_sum
+from hopweave.sources.shared import materialize
 
 EdgeType = tuple[str, str, str]
+TYPED = ("src_type", "rel", "dst_type")
+#: Rows of a frontier's draws that are broadcast to the edges; beyond, both are shuffled.
+BROADCAST_ROWS = 250_000
 
 
 @dataclass(frozen=True)
 class HeteroGraph:
-    """counts: nodes of each type. edges(src_type, rel, dst_type, src, dst, eid), eid dense within an edge type."""
+    """counts: nodes of each type. edges(src_type, rel, dst_type, src, dst, eid, place): eid dense within an edge type, place
+    the edge's among those into its destination. rows(src_type, rel, dst_type, dst, degree), where it was made with the graph."""
 
     counts: dict[str, int]
     types: tuple[EdgeType, ...]
     edges: DataFrame
+    rows: DataFrame | None = None
+
+    @property
+    def total_nodes(self) -> int:
+        return sum(self.counts.values())
+
+    def total_edges(self) -> int:
+        return self.edges.count()
+
+    def type_id(self, name: str | EdgeType) -> int:
+        """The number of a node type or edge type, in the order they were given."""
+        known = [*self.counts] if isinstance(name, str) else [*self.types]
+        if name not in known:
+            raise ValueError(f"unknown type {name}")
+        return known.index(name)
+
+    def in_rows(self) -> DataFrame:
+        """How many edges of each type go into each node that has any."""
+        if self.rows is not None:
+            return self.rows
+        return self.edges.groupBy(*TYPED, "dst").agg(F.count("*").alias("degree"))
+
+    def in_adjacency(self, edge_type: EdgeType) -> DataFrame:
+        """dst, place, src, eid: the edges of a type by destination, sources in stored order."""
+        self.type_id(edge_type)
+        same = F.lit(True)
+        for column, value in zip(TYPED, edge_type, strict=True):
+            same = same & (F.col(column) == value)
+        return self.edges.where(same).select("dst", "place", "src", "eid")
+
+    def persist(self) -> HeteroGraph:
+        kept = dataclasses.replace(self, edges=self.edges.persist())
+        # by destination over all cores: draws are made where the rows' index is
+        spread = max(self.edges.sparkSession.sparkContext.defaultParallelism, int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return dataclasses.replace(kept, rows=kept.in_rows().repartition(spread, "dst_type", "dst").persist())
 
     def edge_counts(self) -> DataFrame:
         return self.edges.groupBy("src_type", "rel", "dst_type").agg(F.count("*").cast("bigint").alias("num_edges"))
@@ -31,24 +73,37 @@ class HeteroGraph:
 
 
 def from_tables(counts: dict[str, int], tables: dict[EdgeType, DataFrame], order: dict[EdgeType, list[str]]) -> HeteroGraph:
-    """tables: src, dst and what orders the rows of a source, for each edge type. Types are checked, ranges by validate()."""
+    """tables: src, dst and what orders the rows of a source, for each edge type. Unknown types and ends out of range are errors.
+    The graph is built in the shared folder."""
     if len(counts) > 255 or len(tables) > 255:
         raise ValueError("at most 255 node types and edge types")
+    if not tables:
+        raise ValueError("a typed graph needs an edge type")
     parts = []
     for (s, r, d), raw in tables.items():
         if s not in counts or d not in counts:
             raise ValueError(f"unknown node type in {(s, r, d)}")
         rank = F.row_number().over(Window.partitionBy("src").orderBy(*order[s, r, d])).cast("bigint")
-        parts.append(raw.select(F.lit(s).alias("src_type"), F.lit(r).alias("rel"), F.lit(d).alias("dst_type"), F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), rank.alias("rank")))
+        fine = lambda c, n: F.when(F.col(c).between(0, n - 1), F.col(c).cast("bigint")).otherwise(F.raise_error(F.concat(F.lit(f"edge type {(s, r, d)}: {c} "), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(f" isn't in 0..{n - 1}"))).cast("bigint")).alias(c)  # noqa: B023, E731
+        parts.append(raw.select(F.lit(s).alias("src_type"), F.lit(r).alias("rel"), F.lit(d).alias("dst_type"), fine("src", counts[s]), fine("dst", counts[d]), rank.alias("rank")))
     edges = parts[0]
     for part in parts[1:]:
         edges = edges.unionByName(part)
-    # an edge's place among those of its type: by source, then by rank
-    starts = edges.groupBy("src_type", "rel", "dst_type", "src").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("src_type", "rel", "dst_type").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.withColumn("start", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
-    placed = edges.join(starts, ["src_type", "rel", "dst_type", "src"]).select("src_type", "rel", "dst_type", "src", "dst", (F.col("start") + F.col("rank") - 1).cast("bigint").alias("eid"))
-    return HeteroGraph(dict(counts), tuple(tables), placed)
+    edges = materialize(edges, "typed-edges")  # read three times below
+    # an edge's number among those of its type: by source, then by rank
+    starts = prefix_sum(edges.groupBy(*TYPED, "src").agg(F.count("*").alias("n")), "src", "n", "start", per=TYPED).drop("n")
+    numbered = edges.join(starts, [*TYPED, "src"]).select(*TYPED, "src", "dst", (F.col("start") + F.col("rank") - 1).cast("bigint").alias("eid"))
+    return HeteroGraph(dict(counts), tuple(tables), materialize(place(materialize(numbered, "typed-edges"), (*TYPED, "dst"), "eid", "place"), "typed-edges"))
+
+
+def from_edge_indices(spark, counts: dict[str, int], edge_indices: dict[EdgeType, tuple]) -> HeteroGraph:
+    """From two aligned arrays (sources, destinations) for each edge type, as message-passing libraries keep them on a driver."""
+    tables = {}
+    for t, (src, dst) in edge_indices.items():
+        if len(src) != len(dst):
+            raise ValueError(f"edge type {t}: {len(src)} sources and {len(dst)} destinations")
+        tables[t] = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(src, dst, strict=True))], "at bigint, src bigint, dst bigint")
+    return from_tables(counts, tables, {t: ["at"] for t in tables})
 
 
 def validate(graph: HeteroGraph) -> None:
@@ -60,16 +115,38 @@ def validate(graph: HeteroGraph) -> None:
 
 @dataclass(frozen=True)
 class HeteroSample:
-    """nodes(batch, node_type, local, node, hop), edges(batch, hop, src_type, rel, dst_type, src, dst) in stored direction, seeds."""
+    """nodes(batch, node_type, local, node, hop), edges(batch, hop, src_type, rel, dst_type, src, dst, eid) in stored direction,
+    seeds(batch, pos, node) of seed_type; the graph's types, whether or not any was drawn."""
 
     nodes: DataFrame
     edges: DataFrame
     seeds: DataFrame
+    seed_type: str = ""
+    node_types: tuple[str, ...] = ()
+    edge_types: tuple[EdgeType, ...] = ()
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Gives back what was kept in memory while hops were drawn; frames that are read again are drawn again."""
+        for frame in self.held:
+            frame.unpersist()
+
+    def seed_indices(self) -> DataFrame:
+        """batch, pos, node, local: each seed's place among its batch's nodes of the seed type."""
+        return self.seeds.join(self.nodes.where(F.col("node_type") == self.seed_type).select("batch", "node", "local"), ["batch", "node"]).select("batch", "pos", "node", "local")
+
+    def counts(self) -> DataFrame:
+        """batch, node_type, num_nodes: with a row for each type, of 0 where a batch has none."""
+        spark = self.nodes.sparkSession
+        all_types = spark.createDataFrame([(t,) for t in self.node_types], "node_type string")  # at most 255 rows
+        every = self.seeds.select("batch").distinct().crossJoin(F.broadcast(all_types))
+        found = self.nodes.groupBy("batch", "node_type").agg(F.count("*").alias("n"))
+        return every.join(found, ["batch", "node_type"], "left").select("batch", "node_type", F.coalesce("n", F.lit(0)).cast("bigint").alias("num_nodes"))
 
     def local_edges(self) -> DataFrame:
         at = self.nodes.select("batch", F.col("node_type").alias("src_type"), F.col("node").alias("src"), F.col("local").alias("src_local"))
         to = self.nodes.select("batch", F.col("node_type").alias("dst_type"), F.col("node").alias("dst"), F.col("local").alias("dst_local"))
-        return self.edges.join(at, ["batch", "src_type", "src"]).join(to, ["batch", "dst_type", "dst"]).select("batch", "hop", "src_type", "rel", "dst_type", "src_local", "dst_local")
+        return self.edges.join(at, ["batch", "src_type", "src"]).join(to, ["batch", "dst_type", "dst"]).select("batch", "hop", *TYPED, "eid", "src_local", "dst_local")
 
 
 def sample(graph: HeteroGraph, seed_type: str, seeds: DataFrame, fanout: dict[EdgeType, list[int]], seed: int = 42, replace: bool = False) -> HeteroSample:
@@ -81,35 +158,40 @@ def sample(graph: HeteroGraph, seed_type: str, seeds: DataFrame, fanout: dict[Ed
         raise ValueError(f"unknown edge type {unknown[0]}")
     if seed_type not in graph.counts:
         raise ValueError(f"unknown node type {seed_type}")
-    number = {t: i for i, t in enumerate(graph.types)}
+    beyond = F.col("node").isNull() | (F.col("node") < 0) | (F.col("node") >= graph.counts[seed_type])
+    seen = seeds.agg(F.count("*").alias("n"), F.count_if(beyond).alias("bad"), F.max(F.when(beyond, F.col("node"))).alias("node")).head()
+    if seen["bad"]:
+        raise ValueError(f"seed {seen['node']} is not in 0..{graph.counts[seed_type] - 1}")
+    number, named = {t: i for i, t in enumerate(graph.types)}, sorted(graph.counts)
     seeds = seeds.withColumns({c: F.col(c).cast("bigint") for c in ("batch", "pos", "node")})
     firsts = seeds.groupBy("batch", "node").agg(F.min("pos").alias("at"))
     local = F.row_number().over(Window.partitionBy("batch").orderBy("at")).cast("bigint") - 1
     nodes = firsts.select("batch", F.lit(seed_type).alias("node_type"), local.alias("local"), "node", F.lit(0).cast("bigint").alias("hop")).persist()
-    frontier, drawn = nodes, None
-    typed = ["src_type", "rel", "dst_type"]
+    held = [nodes]
+    frontier, drawn, n = nodes, None, seen["n"]
     for hop in range(1, min(hops) + 1):
-        table = graph.edges.sparkSession.createDataFrame([(*t, k[hop - 1], number[t]) for t, k in fanout.items()], "src_type string, rel string, dst_type string, k int, type_no bigint")
+        table = graph.edges.sparkSession.createDataFrame([(*t, k[hop - 1], number[t], named.index(t[2])) for t, k in fanout.items()], "src_type string, rel string, dst_type string, k int, type_no bigint, into bigint")
         wanted = frontier.select("batch", F.col("node_type").alias("dst_type"), F.col("node").alias("dst"), F.col("local").alias("parent"))
-        live = graph.edges.join(F.broadcast(table.where("k > 0")), typed)  # at most 255 rows
-        per = ["batch", *typed, "dst"]
-        if not replace:
-            found = wanted.join(live, ["dst_type", "dst"])
-            digest = key(seed, F.col("batch"), hop, F.col("type_no"), F.col("dst"), F.col("eid"))
-            found = found.withColumn("rk", F.row_number().over(Window.partitionBy(*per).orderBy(digest, "eid"))).where("rk <= k")
+        rows = graph.in_rows().join(F.broadcast(table.where("k > 0")), [*TYPED])  # at most 255 rows
+        tries = rows.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, ["dst_type", "dst"])
+        digest = lambda i: key(seed, F.col("batch"), hop, F.col("type_no"), F.col("dst"), i)  # noqa: B023, E731
+        # places among the edges into a node: a hub costs no more than any node
+        if replace:
+            places = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: below(digest(i), F.col("degree")))  # noqa: B023
         else:
-            into = live.withColumn("at", F.row_number().over(Window.partitionBy(*typed, "dst").orderBy("eid")).cast("bigint") - 1)
-            degree = into.groupBy(*typed, "dst", "k", "type_no").agg(F.count("*").alias("degree"))
-            tries = wanted.join(degree, ["dst_type", "dst"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-            tries = tries.withColumn("at", below(key(seed, F.col("batch"), hop, F.col("type_no"), F.col("dst"), F.col("i")), F.col("degree"))).drop("k", "type_no")
-            found = tries.join(into, [*typed, "dst", "at"])
-        found = found.select("batch", F.lit(hop).cast("bigint").alias("hop"), *typed, "src", "dst", "eid", "parent", "type_no").persist()
+            places = F.when(F.col("degree") <= F.col("k"), F.sequence(F.lit(0).cast("bigint"), F.col("degree") - 1)).otherwise(distinct(digest, F.col("degree"), F.col("k")))
+        at = tries.select("batch", *TYPED, "dst", "parent", "type_no", "into", F.explode(places).alias("place"))
+        most = n * max(sum(k[hop - 1] for t, k in fanout.items() if t[2] == into) for into in graph.counts)
+        found = graph.edges.join(F.broadcast(at) if most <= BROADCAST_ROWS else at, [*TYPED, "dst", "place"])
+        found = found.select("batch", F.lit(hop).cast("bigint").alias("hop"), *TYPED, "src", "dst", "eid", "parent", "type_no", "into").persist()
         drawn = found if drawn is None else drawn.unionByName(found)
-        new = found.groupBy("batch", F.col("src_type").alias("node_type"), F.col("src").alias("node")).agg(F.min(F.struct("dst_type", "parent", "type_no", "eid")).alias("ord"))
+        new = found.groupBy("batch", F.col("src_type").alias("node_type"), F.col("src").alias("node")).agg(F.min(pair((F.col("into") * (1 << 32) + F.col("parent")) * 256 + F.col("type_no"), F.col("eid"))).alias("ord"))
         fresh = new.join(nodes.select("batch", "node_type", "node"), ["batch", "node_type", "node"], "left_anti")
         seen = nodes.groupBy("batch", "node_type").agg(F.count("*").alias("seen"))
         rank = F.row_number().over(Window.partitionBy("batch", "node_type").orderBy("ord")).cast("bigint") - 1
         fresh = fresh.withColumn("rank", rank).join(seen, ["batch", "node_type"], "left").select("batch", "node_type", (F.coalesce("seen", F.lit(0)) + F.col("rank")).alias("local"), "node", F.lit(hop).cast("bigint").alias("hop")).persist()
+        held += [found, fresh]
         nodes = nodes.unionByName(fresh)
-        frontier = fresh
-    return HeteroSample(nodes, drawn.select("batch", "hop", *typed, "src", "dst", "eid"), seeds)
+        # no more nodes than draws; counted only where that is too many to broadcast
+        frontier, n = fresh, most if most <= BROADCAST_ROWS or hop == min(hops) else fresh.count()
+    return HeteroSample(nodes, drawn.select("batch", "hop", *TYPED, "src", "dst", "eid"), seeds.select("batch", "pos", "node"), seed_type, tuple(graph.counts), graph.types, tuple(held))

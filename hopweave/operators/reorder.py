@@ -100,8 +100,13 @@ def label_propagation(graph: Graph, rounds: int = 5) -> DataFrame:
 
 def partition_batches(parts: DataFrame, seeds: DataFrame, size: int, shuffle_seed: int | None = None) -> DataFrame:
     """parts(id, partition), seeds(pos, node) to (batch, pos, node, partition): stable by partition, cut every `size`; batches may straddle
-    partitions. With a seed, the partitions' order is shuffled; their number is that of communities, the only thing the driver sees."""
-    rows = seeds.join(parts.select(F.col("id").alias("node"), "partition"), "node")
+    partitions. With a seed, the partitions' order is shuffled; their number is that of communities, the only thing the driver
+    sees. A seed without a partition is an error when the batches are read."""
+    if size <= 0:
+        raise ValueError("the batch size must be positive")
+    rows = seeds.join(parts.select(F.col("id").alias("node"), "partition"), "node", "left")
+    missing = F.raise_error(F.concat(F.lit("no partition for seed "), F.coalesce(F.col("node").cast("string"), F.lit("null")))).cast(parts.schema["partition"].dataType)
+    rows = rows.withColumn("partition", F.when(F.col("partition").isNull(), missing).otherwise(F.col("partition")))
     counts = rows.groupBy("partition").agg(F.count("*").alias("n"))
     if shuffle_seed is None:
         upto = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)

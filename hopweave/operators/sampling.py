@@ -14,11 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopweave.functions.draws import below, distinct, key, unit, weighted
+from hopweave.functions.draws import below, distinct, key, pair, unit, weighted
 from hopweave.graph import Graph
 
-#: Above any eid: the order of discovery is parent * _WIDE + eid.
-_WIDE = 10_000_000_000
+#: Rows of a frontier, or of the places drawn from it, that are broadcast to the edges; beyond, both are shuffled.
+BROADCAST_ROWS = 250_000
 GROUP = ["batch", "block"]
 
 
@@ -55,6 +55,12 @@ class Sample:
     nodes: DataFrame
     edges: DataFrame
     seeds: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Gives back what was kept in memory while hops were drawn; frames that are read again are drawn again."""
+        for frame in self.held:
+            frame.unpersist()
 
     def local_edges(self) -> DataFrame:
         """edges with src_local and dst_local, the ends' places in nodes."""
@@ -75,6 +81,17 @@ class Sample:
         e = self.edges.groupBy(*GROUP, "hop").agg(F.count("*").cast("bigint").alias("num_edges"))
         return n.join(e, [*GROUP, "hop"], "full").select(*GROUP, "hop", F.coalesce("num_nodes", F.lit(0)).alias("num_nodes"), F.coalesce("num_edges", F.lit(0)).alias("num_edges"))
 
+    def to_dict(self, batch: int = 0) -> dict:
+        """Of one batch, collected: nodes in discovery order, edges by hop (src and dst as local places), ids, seeds' places and
+        counts by hop."""
+        one = Sample(*(frame.where(F.col("batch") == batch) for frame in (self.nodes, self.edges, self.seeds)))
+        edges = one.local_edges().orderBy("block", "hop", "src_local", "eid").collect()
+        counts = one.counts().groupBy("hop").agg(F.sum("num_nodes").alias("n"), F.sum("num_edges").alias("e")).orderBy("hop").collect()
+        return {
+            "nodes": [r["node"] for r in one.nodes.orderBy("block", "local").collect()], "src": [r["src_local"] for r in edges], "dst": [r["dst_local"] for r in edges], "edge_ids": [r["eid"] for r in edges],
+            "seeds": [r["local"] for r in one.seed_indices().orderBy("pos").collect()], "num_nodes": [r["n"] for r in counts], "num_edges": [r["e"] for r in counts][1:],
+        }
+
     def arrow_tables(self) -> dict:
         return {"edges": self.edges.select(F.col("dst").alias("edge_src"), F.col("src").alias("edge_dst"), F.col("eid").alias("edge_id")).toArrow(), "nodes": self.nodes.orderBy(*GROUP, "local").select(F.col("node").alias("nodes")).toArrow(), "seeds": self.seeds.orderBy("batch", "pos").select(F.col("node").alias("seeds")).toArrow()}
 
@@ -84,43 +101,53 @@ def _ranked(rows: DataFrame, by: list[Column | str], k: int, per: list[str]) ->
     return rows.withColumn("rk", rank).where(F.col("rk") <= k).drop("rk")
 
 
-def draw(frontier: DataFrame, graph: Graph, config: Config, hop: int) -> DataFrame:
-    """frontier(batch, block, node, local[, bound]) to the hop's edges: batch, block, hop, src, dst, eid, parent[, ts]."""
+def _hint(side: DataFrame, rows: int) -> DataFrame:
+    """Sent to every executor while it is small, so that edges stay where they are."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+
+
+def draw(frontier: DataFrame, graph: Graph, config: Config, hop: int, n: int) -> DataFrame:
+    """frontier(batch, block, node, local[, bound]) of n rows to the hop's edges: batch, block, hop, src, dst, eid, parent[, ts]."""
     k, seed, per = config.fanout[hop - 1], config.seed, [*GROUP, "src"]
     rows = frontier.select(*GROUP, F.col("node").alias("src"), F.col("local").alias("parent"), *(["bound"] if config.temporal else []))
     digest = lambda *extra: key(seed, F.col("batch"), F.col("block"), hop, F.col("src"), *extra)
     columns = [*GROUP, F.lit(hop).cast("bigint").alias("hop"), "src", "dst", "eid", "parent", *(["ts"] if config.temporal else [])]
     if config.temporal:
-        found = rows.join(graph.edges, "src").where(F.col("bound").isNull() | (F.col("ts") < F.col("bound")))
+        found = graph.edges.join(_hint(rows, n), "src").where(F.col("bound").isNull() | (F.col("ts") < F.col("bound")))
         if config.temporal == "last":
             return (_ranked(found, [F.desc("ts"), F.desc("eid")], k, per) if k >= 0 else found).select(*columns)
         found = _capped(found, config, digest, per)
         return (_ranked(found, [digest(F.col("eid")), "eid"], k, per) if k >= 0 else found).select(*columns)
-    if not config.replace or k < 0:
-        found = rows.join(graph.edges, "src")
-        if k < 0:
-            return found.select(*columns)
-        if config.weighted:
-            found = _capped(found, config, digest, per)
-            # with k or more than the row has, all are taken whatever their weights
-            return _ranked(found, [weighted(digest(F.col("eid")), F.col("weight")), digest(F.col("eid")), "eid"], k, per).select(*columns)
-        # k places of a row and then the edges there: a hub costs no more than any node, and no join is on its id
-        starts = graph.edges.groupBy("src").agg(F.min("eid").alias("start"), F.count("*").alias("degree"))
+    if k < 0:
+        return graph.edges.join(_hint(rows, n), "src").select(*columns)
+    if k == 0:
+        return graph.edges.join(rows, "src").select(*columns).limit(0)
+    starts = graph.row_index().join(_hint(rows, n), "src")
+
+    def at(places: Column, most: int, *more: str) -> DataFrame:
+        """The edges at given places of each row: a hub costs no more than any node, and no join is on its id."""
+        placed = starts.select("*", F.explode(places).alias("place")).withColumn("eid", F.col("start") + F.col("place"))
+        return graph.edges.select("eid", "dst", *more).join(_hint(placed, n * most), "eid")
+
+    def some(most: int, *extra) -> Column:
         whole = F.sequence(F.lit(0).cast("bigint"), F.col("degree") - 1)
-        places = F.when(F.col("degree") <= k, whole).otherwise(distinct(digest, F.col("degree"), k)) if k else F.array().cast("array<bigint>")
-        at = rows.join(starts, "src").select("*", F.explode(places).alias("place")).withColumn("eid", F.col("start") + F.col("place"))
-        return at.join(graph.edges.select("eid", "dst"), "eid").select(*columns)
-    rowed = graph.edges.groupBy("src").agg(F.min("eid").alias("start"), F.count("*").alias("degree"), *([F.sum(F.col("weight").cast("double")).alias("total")] if config.weighted else []))
-    tries = rows.join(rowed, "src").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))) if k else rows.join(rowed, "src").withColumn("i", F.lit(0)).limit(0)
+        return F.when(F.col("degree") <= most, whole).otherwise(distinct(lambda i: digest(*extra, i), F.col("degree"), most))
+
+    if not config.replace:
+        if not config.weighted:
+            return at(some(k), k).select(*columns)
+        # the cap first: of a row beyond it only so many places are looked at
+        found = graph.edges.join(_hint(rows, n), "src") if config.max_degree is None else at(some(config.max_degree, "cap"), config.max_degree, "weight")
+        # with k or more than the row has, all are taken whatever their weights
+        return _ranked(found, [weighted(digest(F.col("eid")), F.col("weight")), digest(F.col("eid")), "eid"], k, per).select(*columns)
+    each = F.sequence(F.lit(0), F.lit(k - 1))
     if not config.weighted:
-        places = tries.withColumn("eid", F.col("start") + below(digest(F.col("i")), F.col("degree")))
-        return places.join(graph.edges.select("eid", "dst"), "eid").select(*columns)
-    upto = Window.partitionBy("src").orderBy("eid").rowsBetween(Window.unboundedPreceding, 0)
-    curve = graph.edges.withColumn("high", F.sum(F.col("weight").cast("double")).over(upto))
-    curve = curve.withColumn("low", F.coalesce(F.lag("high").over(Window.partitionBy("src").orderBy("eid")), F.lit(0.0))).withColumn("last", F.col("eid") == F.max("eid").over(Window.partitionBy("src")))
-    aimed = tries.withColumn("x", (F.lit(1.0) - unit(digest(F.col("i")))) * F.col("total"))
+        return at(F.transform(each, lambda i: below(digest(i), F.col("degree"))), k).select(*columns)
+    curve = graph.running_weights()
+    totals = curve.where("last").select("src", F.col("high").alias("total"))
+    aimed = totals.join(_hint(rows, n), "src").withColumn("i", F.explode(each)).withColumn("x", (F.lit(1.0) - unit(digest(F.col("i")))) * F.col("total"))
     hit = ((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))) | (F.col("last") & (F.col("x") >= F.col("high")))
-    return aimed.join(curve.select("src", "eid", "dst", "low", "high", "last"), "src").where(hit).select(*columns)
+    return curve.join(_hint(aimed, n * k), "src").where(hit).select(*columns)
 
 
 def _capped(found: DataFrame, config: Config, digest, per: list[str]) -> DataFrame:
@@ -130,11 +157,19 @@ def _capped(found: DataFrame, config: Config, digest, per: list[str]) -> DataFra
 
 
 def sample(graph: Graph, seeds: DataFrame, config: Config) -> Sample:
-    """seeds(batch, pos, node[, time]): order and repeats count. The samples of all batches at once."""
+    """seeds(batch, pos, node[, time]): order and repeats count. The samples of all batches at once. Seeds out of range, and
+    times without a strategy that reads them, are errors."""
     if config.weighted and not graph.has_weights:
         raise ValueError("weighted sampling needs weights")
     if config.temporal and not graph.has_timestamps:
         raise ValueError("temporal sampling needs timestamps")
+    timed = F.col("time").isNotNull() if "time" in seeds.columns and not config.temporal else F.lit(False)
+    beyond = F.col("node").isNull() | (F.col("node") < 0) | (F.col("node") >= graph.num_nodes)
+    given = seeds.agg(F.count("*").alias("n"), F.count_if(beyond).alias("bad"), F.max(F.when(beyond, F.col("node"))).alias("node"), F.count_if(timed).alias("timed")).head()
+    if given["bad"]:
+        raise ValueError(f"seed {given['node']} is not in 0..{graph.num_nodes - 1}")
+    if given["timed"]:
+        raise ValueError("times are given, but no temporal strategy")
     times = ["bound"] if config.temporal else []
     seeds = seeds.withColumn("block", F.col("pos") if config.disjoint else F.lit(0)).withColumns({c: F.col(c).cast("bigint") for c in ("batch", "block", "pos", "node")})
     if config.temporal:
@@ -144,16 +179,20 @@ def sample(graph: Graph, seeds: DataFrame, config: Config) -> Sample:
     firsts = seeds.groupBy(*GROUP, "node").agg(F.min("pos").alias("at"), *([earliest.alias("bound")] if config.temporal else []))
     local = F.row_number().over(Window.partitionBy(*GROUP).orderBy("at")).cast("bigint") - 1
     nodes = firsts.select(*GROUP, local.alias("local"), "node", F.lit(0).cast("bigint").alias("hop"), *times).persist()
-    frontier, drawn = nodes, None
+    held = [nodes]
+    # n, total: rows of the frontier and of all nodes, at most; counted only where the bound is too large to broadcast
+    frontier, drawn, n = nodes, None, given["n"]
+    total = n
     for hop in range(1, len(config.fanout) + 1):
-        found = draw(frontier, graph, config, hop)
+        found = draw(frontier, graph, config, hop, n)
         if config.cumulative and drawn is not None:
             found = found.join(drawn.select(*GROUP, "eid"), [*GROUP, "eid"], "left_anti")
         found = found.persist()
         drawn = found if drawn is None else drawn.unionByName(found)
-        order = F.min(F.col("parent") * F.lit(_WIDE) + F.col("eid")).alias("ord")
+        # a node's place is that of its first discovery: by its discoverer, then by edge
+        order = F.min(pair(F.col("parent"), F.col("eid"))).alias("ord")
         new = found.groupBy(*GROUP, F.col("dst").alias("node")).agg(order, *([F.min("ts").alias("bound")] if config.temporal else []))
-        fresh = new.join(nodes.select(*GROUP, "node"), [*GROUP, "node"], "left_anti")
+        fresh = new.join(_hint(nodes.select(*GROUP, "node"), total), [*GROUP, "node"], "left_anti")
         seen = nodes.groupBy(*GROUP).agg(F.count("*").alias("seen"))
         rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy("ord")).cast("bigint") - 1
         fresh = fresh.withColumn("rank", rank).join(seen, GROUP).select(*GROUP, (F.col("seen") + F.col("rank")).alias("local"), "node", F.lit(hop).cast("bigint").alias("hop"), *times)
@@ -161,23 +200,29 @@ def sample(graph: Graph, seeds: DataFrame, config: Config) -> Sample:
             lower = new.select(*GROUP, "node", F.col("bound").alias("other"))
             nodes = nodes.join(lower, [*GROUP, "node"], "left").withColumn("bound", F.least("bound", F.coalesce("other", "bound"))).select(*GROUP, "local", "node", "hop", "bound")
         fresh = fresh.persist()
+        held += [found, fresh]
         nodes = nodes.unionByName(fresh)
-        frontier = nodes if config.cumulative else fresh
+        k = config.fanout[hop - 1]
+        n = n * k if 0 <= k and n * k <= BROADCAST_ROWS else fresh.count() if hop < len(config.fanout) or config.subgraph == "induced" else 0
+        total += n
+        frontier, n = (nodes, total) if config.cumulative else (fresh, n)
     edges = drawn.select(*GROUP, "hop", "src", "dst", "eid")
     if config.subgraph == "induced":
-        edges = induced(graph, nodes, bool(config.temporal))
+        edges = induced(graph, nodes, bool(config.temporal), total)
     elif config.subgraph == "bidirectional":
         edges = edges.unionByName(missing_reverses(edges))
-    return Sample(nodes.select(*GROUP, "local", "node", "hop"), edges, seeds.select(*GROUP, "pos", "node"))
+    return Sample(nodes.select(*GROUP, "local", "node", "hop"), edges, seeds.select(*GROUP, "pos", "node"), tuple(held))
 
 
-def induced(graph: Graph, nodes: DataFrame, temporal: bool = False) -> DataFrame:
-    """Every stored edge between sampled nodes of a group; hop is 0. A temporal bound holds at the source."""
+def induced(graph: Graph, nodes: DataFrame, temporal: bool = False, n: int = BROADCAST_ROWS + 1) -> DataFrame:
+    """Every stored edge between sampled nodes (n rows) of a group; hop is 0. A temporal bound holds at the source."""
     ends = nodes.select(*GROUP, F.col("node").alias("src"), *(["bound"] if temporal else []))
-    found = ends.join(graph.edges, "src")
+    # edges to a node that is in no sample go before a hub's edges are repeated for each group
+    wanted = graph.edges.join(_hint(nodes.select(F.col("node").alias("dst")).distinct(), n), "dst", "left_semi")
+    found = wanted.join(_hint(ends, n), "src")
     if temporal:
         found = found.where(F.col("ts") < F.col("bound"))
-    return found.join(nodes.select(*GROUP, F.col("node").alias("dst")), [*GROUP, "dst"], "left_semi").select(*GROUP, F.lit(0).cast("bigint").alias("hop"), "src", "dst", "eid")
+    return found.join(_hint(nodes.select(*GROUP, F.col("node").alias("dst")), n), [*GROUP, "dst"], "left_semi").select(*GROUP, F.lit(0).cast("bigint").alias("hop"), "src", "dst", "eid")
 
 
 def missing_reverses(edges: DataFrame) -> DataFrame:

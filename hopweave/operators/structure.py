@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopweave.functions.prefix import prefix_sum
+from hopweave.functions.prefix import place, prefix_sum
 from hopweave.graph import Graph, from_edges
 
 
@@ -41,8 +41,7 @@ def neighbor_lists(graph: Graph, wanted: DataFrame) -> DataFrame:
 
 def transpose(graph: Graph) -> DataFrame:
     """dst, rank among its in-edges, src, eid: sources in stored order."""
-    rank = F.row_number().over(Window.partitionBy("dst").orderBy("eid")).cast("bigint") - 1
-    return graph.edges.select("dst", rank.alias("rank"), "src", "eid")
+    return place(graph.edges.select("dst", "src", "eid"), ("dst",), "eid", "rank").select("dst", "rank", "src", "eid")
 
 
 def stats(graph: Graph) -> DataFrame:
@@ -74,7 +73,10 @@ def degree_percentiles_discrete(graph: Graph, shares: tuple[tuple[int, int], ...
 
 
 def permute(graph: Graph, order: DataFrame) -> Graph:
-    """order(id, old): the node `old` becomes `id`. Rows keep their neighbors' order; weights and timestamps follow."""
+    """order(id, old): the node `old` becomes `id`. Rows keep their neighbors' order; weights and timestamps follow. For
+    homogeneous graphs: one order can't name both sides of a bipartite one."""
+    if not graph.is_homogeneous:
+        raise ValueError(f"a bipartite graph ({graph.num_nodes} to {graph.num_dst} nodes) can't be permuted by one order")
     checked = order.agg(F.count("*").alias("n"), F.count_distinct("old").alias("d"), F.min("old").alias("a"), F.max("old").alias("b")).head()
     if (checked["n"], checked["d"]) != (graph.num_nodes, graph.num_nodes) or (graph.num_nodes and (checked["a"], checked["b"]) != (0, graph.num_nodes - 1)):
         raise ValueError("not a permutation of the nodes")

@@ -18,11 +18,11 @@ TRADE = [
     "nodes AS (SELECT range AS id FROM range((SELECT c + p + s FROM sizes)))",
 ]
 
-#: Every 20th part, in batches of 16.
-PART_SEEDS = ["places AS (SELECT p_partkey AS part, p_partkey // 20 AS pos FROM part WHERE p_partkey % 20 = 0)", "seeds AS (SELECT pos // 16 AS batch, pos % 16 AS pos, part AS node, NULL::DOUBLE AS time FROM places)"]
-TRADE_SEEDS = [PART_SEEDS[0], "seeds AS (SELECT pos // 16 AS batch, pos % 16 AS pos, part + (SELECT c FROM sizes) AS node, epoch_us(TIMESTAMP '1996-06-01')::DOUBLE + pos * 1000000 AS time FROM places)"]
+#: Every part, in batches of 128.
+PART_SEEDS = ["places AS (SELECT p_partkey AS part, p_partkey AS pos FROM part)", "seeds AS (SELECT pos // 128 AS batch, pos % 128 AS pos, part AS node, NULL::DOUBLE AS time FROM places)"]
+TRADE_SEEDS = [PART_SEEDS[0], "seeds AS (SELECT pos // 128 AS batch, pos % 128 AS pos, part + (SELECT c FROM sizes) AS node, epoch_us(TIMESTAMP '1996-06-01')::DOUBLE + pos * 1000000 AS time FROM places)"]
 #: With each fourth seed once more.
-DOUBLED_SEEDS = [PART_SEEDS[0], "seeds AS (SELECT batch, pos, node, time FROM (SELECT pos // 16 AS batch, pos % 16 AS pos, part + (SELECT c FROM sizes) AS node, NULL::DOUBLE AS time FROM places) UNION ALL SELECT pos // 16, 100 + pos % 16, part + (SELECT c FROM sizes), NULL::DOUBLE FROM places WHERE pos % 4 = 0)"]
+DOUBLED_SEEDS = [PART_SEEDS[0], "seeds AS (SELECT batch, pos, node, time FROM (SELECT pos // 128 AS batch, pos % 128 AS pos, part + (SELECT c FROM sizes) AS node, NULL::DOUBLE AS time FROM places) UNION ALL SELECT pos // 128, 1000 + pos % 128, part + (SELECT c FROM sizes), NULL::DOUBLE FROM places WHERE pos % 4 = 0)"]
 
 
 def with_(ctes: list[str], select: str) -> str:
@@ -41,6 +41,20 @@ def _below(digest: str, n: str) -> str:
     return f"(('0x' || substr({digest}, 1, 12))::UBIGINT)::BIGINT % {n}"
 
 
+def _floyd(k: int, key) -> str:
+    """Columns p0..: k different places among `degree`; key(i) is the digest of step i."""
+    steps = []
+    for i in range(k):
+        drawn = _below(key(i), f"greatest(degree - {k} + {i} + 1, 1)")
+        taken = f"CASE WHEN t{i} IN ({', '.join(f'p{j}' for j in range(i))}) THEN degree - {k} + {i} ELSE t{i} END AS p{i}" if i else "t0 AS p0"
+        steps.append(f"{drawn} AS t{i}, {taken}")
+    return ", ".join(steps)
+
+
+def _places(k: int) -> str:
+    return f"unnest(CASE WHEN degree <= {k} THEN range(degree) ELSE [{', '.join(f'p{j}' for j in range(k))}] END)"
+
+
 def khop(config: Config) -> list[str]:
     """CTEs over e and seeds that end in nall (nodes), dall (edges) and s (seeds)."""
     c, group = config, "batch, block"
@@ -62,17 +76,17 @@ def khop(config: Config) -> list[str]:
             else:
                 curve = "SELECT *, coalesce(lag(high) OVER (PARTITION BY src ORDER BY eid), 0.0) AS low, eid = max(eid) OVER (PARTITION BY src) AS ending FROM (SELECT src, dst, eid, ts, sum(weight) OVER (PARTITION BY src ORDER BY eid ROWS UNBOUNDED PRECEDING) AS high FROM e)"
                 body = f"SELECT t.batch, t.block, t.src, c.dst, c.eid, t.parent, c.ts FROM (SELECT *, (1.0::DOUBLE - {_unit(key('i'))}) * total AS x FROM ({rows})) t JOIN ({curve}) c ON c.src = t.src AND ((t.x >= c.low AND t.x < c.high) OR (c.ending AND t.x >= c.high))"
-        elif not c.temporal and not c.weighted and k > 0:
-            steps = []
-            for i in range(k):
-                drawn = _below(key(str(i)), f"(degree - {k} + {i} + 1)")
-                steps.append(f"CASE WHEN t{i} IN ({', '.join(f'p{j}' for j in range(i))}) THEN degree - {k} + {i} ELSE t{i} END AS p{i}" if i else "t0 AS p0")
-                steps[-1] = f"{drawn} AS t{i}, {steps[-1]}"
-            rows = f"SELECT f.batch, f.block, f.node AS src, f.local AS parent, r.start, r.degree, {', '.join(steps).replace('(src)::', '(f.node)::')} FROM {frontier} f JOIN (SELECT src, min(eid) AS start, count(*) AS degree FROM e GROUP BY src) r ON r.src = f.node"
-            places = f"SELECT *, unnest(CASE WHEN degree <= {k} THEN range(degree) ELSE [{', '.join(f'p{j}' for j in range(k))}] END) AS place FROM ({rows})"
-            body = f"SELECT t.batch, t.block, t.src, e.dst, e.eid, t.parent, e.ts FROM ({places}) t JOIN e ON e.eid = t.start + t.place"
+        elif not c.temporal and k > 0 and (not c.weighted or c.max_degree is not None):
+            # so many places of a row; of weighted draws the cap's, of which the best are taken
+            most, extra = (c.max_degree, ("'cap'",)) if c.weighted else (k, ())
+            steps = _floyd(most, lambda i: _key(c.seed, "batch", "block", str(h), "f.node", *extra, str(i)))  # noqa: B023
+            rows = f"SELECT f.batch, f.block, f.node AS src, f.local AS parent, r.start, r.degree, {steps} FROM {frontier} f JOIN (SELECT src, min(eid) AS start, count(*) AS degree FROM e GROUP BY src) r ON r.src = f.node"
+            body = f"SELECT t.batch, t.block, t.src, e.dst, e.eid, t.parent, e.ts, e.weight FROM (SELECT *, {_places(most)} AS place FROM ({rows})) t JOIN e ON e.eid = t.start + t.place"
+            if c.weighted:
+                order = f"CASE WHEN weight > 0 AND isfinite(weight) THEN -ln({_unit(key('eid'))}) / weight ELSE 'infinity'::DOUBLE END, {key('eid')}, eid"
+                body = f"SELECT * FROM ({body}) QUALIFY row_number() OVER (PARTITION BY batch, block, src ORDER BY {order}) <= {k}"
         else:
-            if c.max_degree is not None and (c.weighted or c.temporal == "uniform"):
+            if c.max_degree is not None and c.temporal == "uniform":
                 base = f"SELECT * FROM ({base}) QUALIFY row_number() OVER (PARTITION BY batch, block, src ORDER BY {key(chr(39) + 'cap' + chr(39), 'eid')}, eid) <= {c.max_degree}"
             if c.temporal == "last":
                 order = "ts DESC, eid DESC"
@@ -113,12 +127,21 @@ COUNTS_OUT = "SELECT coalesce(n.batch, d.batch) AS batch, coalesce(n.block, d.bl
 def hetero(fanout: dict, seed: int, types: list, raw: dict[tuple, str]) -> list[str]:
     """CTEs that end in hn (nodes) and hd (edges); raw: a SELECT of src, dst, eid for each edge type."""
     union = " UNION ALL ".join(f"SELECT '{s}' AS src_type, '{r}' AS rel, '{d}' AS dst_type, {types.index((s, r, d))}::BIGINT AS type_no, src, dst, eid FROM ({raw[s, r, d]})" for s, r, d in fanout)
-    out = [f"he AS MATERIALIZED ({union})", "hn0 AS MATERIALIZED (SELECT batch, 'customer' AS node_type, row_number() OVER (PARTITION BY batch ORDER BY pos) - 1 AS local, node, 0::BIGINT AS hop FROM seeds)", "hv0 AS (SELECT * FROM hn0)"]
+    out = [
+        f"he AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY type_no, dst ORDER BY eid) - 1 AS place FROM ({union}))",
+        "hr AS (SELECT type_no, dst_type, dst, count(*) AS degree FROM he GROUP BY ALL)",
+        "hn0 AS MATERIALIZED (SELECT batch, 'customer' AS node_type, row_number() OVER (PARTITION BY batch ORDER BY pos) - 1 AS local, node, 0::BIGINT AS hop FROM seeds)",
+        "hv0 AS (SELECT * FROM hn0)",
+    ]
     for h in range(1, len(next(iter(fanout.values()))) + 1):
-        cases = " ".join(f"WHEN {types.index(t)} THEN {k[h - 1]}" for t, k in fanout.items())
+        tries = []
+        for t, k in fanout.items():
+            if most := k[h - 1]:
+                steps = _floyd(most, lambda i: _key(seed, "f.batch", str(h), "type_no", "f.node", str(i)))  # noqa: B023
+                tries.append(f"SELECT batch, parent, type_no, dst, {_places(most)} AS place FROM (SELECT f.batch, f.local AS parent, type_no, dst, degree, {steps} FROM hn{h - 1} f JOIN hr ON hr.dst_type = f.node_type AND hr.dst = f.node WHERE type_no = {types.index(t)})")
         before = f"SELECT * FROM hdd{h - 1} UNION ALL " if h > 1 else ""
         out += [
-            f"hd{h} AS MATERIALIZED (SELECT f.batch, {h}::BIGINT AS hop, e.src_type, e.rel, e.dst_type, e.src, e.dst, e.eid, f.local AS parent, e.type_no FROM hn{h - 1} f JOIN he e ON e.dst_type = f.node_type AND e.dst = f.node QUALIFY row_number() OVER (PARTITION BY f.batch, e.type_no, e.dst ORDER BY {_key(seed, 'f.batch', str(h), 'e.type_no', 'e.dst', 'e.eid')}, e.eid) <= CASE e.type_no {cases} END)",
+            f"hd{h} AS MATERIALIZED (SELECT t.batch, {h}::BIGINT AS hop, e.src_type, e.rel, e.dst_type, e.src, e.dst, e.eid, t.parent, e.type_no FROM ({' UNION ALL '.join(tries)}) t JOIN he e ON e.type_no = t.type_no AND e.dst = t.dst AND e.place = t.place)",
             f"hdd{h} AS ({before}SELECT * FROM hd{h})",
             f"hw{h} AS (SELECT batch, src_type AS node_type, src AS node, min({{'t': dst_type, 'p': parent, 'n': type_no, 'e': eid}}) AS ord FROM hd{h} GROUP BY ALL)",
             f"hn{h} AS MATERIALIZED (SELECT w.batch, w.node_type, coalesce(c.seen, 0) + row_number() OVER (PARTITION BY w.batch, w.node_type ORDER BY w.ord) - 1 AS local, w.node, {h}::BIGINT AS hop FROM hw{h} w LEFT JOIN (SELECT batch, node_type, count(*) AS seen FROM hv{h - 1} GROUP BY ALL) c ON c.batch = w.batch AND c.node_type = w.node_type WHERE NOT EXISTS (SELECT 1 FROM hv{h - 1} v WHERE v.batch = w.batch AND v.node_type = w.node_type AND v.node = w.node))",

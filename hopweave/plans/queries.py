@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopweave import graph as graphs
+from hopweave.functions.prefix import prefix_sum
 from hopweave.graph import Graph
 from hopweave.operators import dynamic, features, hetero, loading, reorder, sampling, structure
 from hopweave.operators.sampling import Config
@@ -33,7 +34,7 @@ def _graph(spark: SparkSession, sf_dir: str, make: Callable) -> Graph:
     """A graph is built once for a session and a directory, and kept: many samples are drawn from one graph."""
     at = (spark.sparkContext.applicationId, sf_dir, make.__name__)
     if at not in _built:
-        _built[at] = make(spark, sf_dir).persist()
+        _built[at] = make(spark, sf_dir).settle().persist()
     return _built[at]
 
 
@@ -45,28 +46,26 @@ def trade(spark, sf_dir):
     return _graph(spark, sf_dir, tables.trade)
 
 
-def _places(spark, sf_dir):
-    return tables.table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("part"), F.floor(F.col("p_partkey") / 20).alias("at"))
-
-
 def shop(spark, sf_dir) -> hetero.HeteroGraph:
     at = (spark.sparkContext.applicationId, sf_dir, "shop")
     if at not in _built:
-        made = tables.shop(spark, sf_dir)
-        _built[at] = hetero.HeteroGraph(made.counts, made.types, made.edges.persist())
+        _built[at] = tables.shop(spark, sf_dir).persist()
     return _built[at]
 
 
 def part_seeds(spark, sf_dir):
-    return _places(spark, sf_dir).select(F.floor(F.col("at") / 16).alias("batch"), (F.col("at") % 16).alias("pos"), F.col("part").alias("node"))
+    """Every part, in batches of 128."""
+    return loading.sequential(tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("node")), 128)
 
 
-def trade_seeds(spark, sf_dir, doubled: bool = False):
+def trade_seeds(spark, sf_dir, timed: bool = False, doubled: bool = False):
+    """Every part, in batches of 128; with a time, or with each fourth once more."""
     shift = tables.table(spark, sf_dir, "customer").count()
     start = F.unix_micros(F.lit("1996-06-01 00:00:00").cast("timestamp")).cast("double")
-    rows = _places(spark, sf_dir).select(F.floor(F.col("at") / 16).alias("batch"), (F.col("at") % 16).alias("pos"), (F.col("part") + shift).alias("node"), (start + F.col("at") * 1_000_000).alias("time"), "at")
+    at = F.col("p_partkey")
+    rows = tables.table(spark, sf_dir, "part").select(F.floor(at / 128).alias("batch"), (at % 128).alias("pos"), (at + shift).alias("node"), *([(start + at * 1_000_000).alias("time")] if timed else []), at.alias("at"))
     if doubled:
-        rows = rows.unionByName(rows.where("at % 4 = 0").withColumn("pos", F.col("pos") + 100))
+        rows = rows.unionByName(rows.where("at % 4 = 0").withColumn("pos", F.col("pos") + 1000))
     return rows.drop("at")
 
 
@@ -92,11 +91,11 @@ def degrees(spark, sf_dir):
 
 
 def _wanted(spark, n: int) -> DataFrame:
-    """Some ids, one of them twice and some out of range."""
-    return spark.range(300).select(F.col("id").alias("pos"), (F.col("id") * 7919 % (n + 40)).alias("id"))
+    """Every id, the first of them twice and some out of range."""
+    return spark.range(n + 80).select(F.col("id").alias("pos"), (F.col("id") * 7919 % (n + 40)).alias("id"))
 
 
-_WANTED = "wanted AS (SELECT range AS pos, range * 7919 % ((SELECT count(*) FROM nodes) + 40) AS id FROM range(300))"
+_WANTED = "wanted AS (SELECT range AS pos, range * 7919 % ((SELECT count(*) FROM nodes) + 40) AS id FROM range((SELECT count(*) FROM nodes) + 80))"
 
 
 @query(sql.with_([*sql.PART_SUPP, _WANTED], "SELECT pos, id, coalesce(n, 0) AS degree FROM wanted LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY src) ON src = id"))
@@ -153,7 +152,8 @@ def permute_reverse(spark, sf_dir):
 
 def _sampled(name: str, config: Config, out: str, read: Callable, graph: Callable = trade, seeds: Callable = trade_seeds, ctes: list[str] = sql.TRADE, seed_ctes: list[str] = sql.TRADE_SEEDS) -> None:
     def run(spark, sf_dir):
-        return read(sampling.sample(graph(spark, sf_dir), seeds(spark, sf_dir), config))
+        given = trade_seeds(spark, sf_dir, timed=True) if config.temporal else seeds(spark, sf_dir)
+        return read(sampling.sample(graph(spark, sf_dir), given, config))
 
     run.__name__ = name
     query(sql.with_([*ctes, *seed_ctes, *sql.khop(config)], out))(run)
@@ -168,14 +168,14 @@ _sampled("sample_cumulative", Config((3, 3), cumulative=True), sql.EDGES_OUT, _e
 _sampled("sample_replace", Config((6, 2), replace=True), sql.EDGES_OUT, _edges)
 _sampled("sample_weighted", Config((4, 3), weighted=True), sql.EDGES_OUT, _edges)
 _sampled("sample_weighted_replace", Config((5,), weighted=True, replace=True), sql.EDGES_OUT, _edges)
-_sampled("sample_hub_cap", Config((4, 3), weighted=True, max_degree=12), sql.EDGES_OUT, _edges)
+_sampled("sample_hub_cap", Config((4, 3), weighted=True, max_degree=6), sql.EDGES_OUT, _edges)
 _sampled("sample_temporal_uniform", Config((4, 3), temporal="uniform"), sql.EDGES_OUT, _edges)
 _sampled("sample_temporal_last", Config((4, 3), temporal="last"), sql.EDGES_OUT, _edges)
 _sampled("sample_disjoint", Config((4, 2), disjoint=True), sql.NODES_OUT, _nodes)
 _sampled("sample_induced", Config((4, 3), subgraph="induced"), sql.EDGES_OUT, _edges)
 _sampled("sample_bidirectional", Config((4, 3), subgraph="bidirectional"), sql.EDGES_OUT, _edges)
 _sampled("local_edge_index", Config((4, 3)), sql.LOCAL_OUT, lambda s: s.edge_index())
-_sampled("seed_indices", Config((2,)), sql.SEEDS_OUT, lambda s: s.seed_indices(), seeds=lambda s, d: trade_seeds(s, d, True), seed_ctes=sql.DOUBLED_SEEDS)
+_sampled("seed_indices", Config((2,)), sql.SEEDS_OUT, lambda s: s.seed_indices(), seeds=lambda s, d: trade_seeds(s, d, doubled=True), seed_ctes=sql.DOUBLED_SEEDS)
 _sampled("sampled_counts", Config((4, 3)), sql.COUNTS_OUT, lambda s: s.counts())
 _sampled("node_frequencies", Config((4, 3)), "SELECT node, count(DISTINCT batch) AS num_batches FROM nall GROUP BY node", sampling.node_frequencies)
 
@@ -190,12 +190,15 @@ _SHOP_RAW = {
     ("nation", "rev_in", "customer"): "SELECT c_nationkey::BIGINT AS src, c_custkey AS dst FROM customer",
     ("orders", "contains", "part"): "SELECT o AS src, p AS dst, lines.* FROM lines",
 }
-_SHOP_SQL = [sql.PART_SUPP[0], "seeds AS (SELECT c_custkey // 10 // 8 AS batch, c_custkey // 10 % 8 AS pos, c_custkey AS node FROM customer WHERE c_custkey % 10 = 0)", *sql.hetero(_SHOP_FANOUT, 42, _SHOP_TYPES, {k: _NUMBERED.format(o="o, l, p, s, q, x" if "lines" in v else "dst", raw=v) for k, v in _SHOP_RAW.items()})]
+def _shop_ctes(seed: int) -> list[str]:
+    return [sql.PART_SUPP[0], "seeds AS (SELECT c_custkey // 128 AS batch, c_custkey % 128 AS pos, c_custkey AS node FROM customer)", *sql.hetero(_SHOP_FANOUT, seed, _SHOP_TYPES, {k: _NUMBERED.format(o="o, l, p, s, q, x" if "lines" in v else "dst", raw=v) for k, v in _SHOP_RAW.items()})]
+
+
+_SHOP_SQL = _shop_ctes(42)
 
 
 def _shop_sample(spark, sf_dir):
-    at = F.floor(F.col("c_custkey") / 10)
-    seeds = tables.table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.floor(at / 8).alias("batch"), (at % 8).alias("pos"), F.col("c_custkey").alias("node"))
+    seeds = loading.sequential(tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("node")), 128)
     return hetero.sample(shop(spark, sf_dir), "customer", seeds, _SHOP_FANOUT)
 
 
@@ -238,14 +241,14 @@ def mask_seeds(spark, sf_dir):
     return loading.input_nodes(customers, customers.count())
 
 
-_FEATURE_SQL = "SELECT pos // 32 AS batch, pos % 32 AS pos, node, label, embedding[1]::DOUBLE AS x_first, embedding[64]::DOUBLE AS x_last FROM (SELECT range AS pos, range * 37 % (SELECT count(*) FROM embeddings) AS node FROM range(400)) JOIN embeddings ON vec_id = node"
+_FEATURE_SQL = "SELECT pos // 32 AS batch, pos % 32 AS pos, node, label, embedding[1]::DOUBLE AS x_first, embedding[64]::DOUBLE AS x_last FROM (SELECT range AS pos, (SELECT count(*) FROM embeddings) - 1 - range AS node FROM range((SELECT count(*) FROM embeddings))) JOIN embeddings ON vec_id = node"
 
 
 @query(_FEATURE_SQL)
 def batch_features(spark, sf_dir):
     rows = tables.features(spark, sf_dir)
     n = rows.count()
-    seeds = loading.sequential(spark.range(400).select(F.col("id").alias("pos"), (F.col("id") * 37 % n).alias("node")), 32)
+    seeds = loading.sequential(spark.range(n).select(F.col("id").alias("pos"), (F.lit(n - 1) - F.col("id")).alias("node")), 32)
     found = loading.gather(seeds, rows.select("id", "x")).join(rows.select(F.col("id").alias("node"), "label"), "node")
     return found.select("batch", "pos", "node", "label", F.get("x", F.lit(0)).cast("double").alias("x_first"), F.get("x", F.lit(63)).cast("double").alias("x_last"))
 
@@ -261,6 +264,68 @@ def batch_rows(spark, sf_dir):
     return loading.batch_rows(sampling.sample(g, seeds, Config((5, 3))), rows.select("id", "x"), rows.select("id", "label"))
 
 
+def _joined(rows: DataFrame) -> DataFrame:
+    """Arrays as text, as databases compare it alike."""
+    return rows.select(*[F.array_join(F.col(f.name).cast("array<string>"), ",").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in rows.schema])
+
+
+_LOADED = "SELECT d.batch, list(d.edge_index_0 ORDER BY d.hop, d.edge_index_1, d.e_id, d.edge_index_0) AS edge_index_0, list(d.e_id ORDER BY d.hop, d.edge_index_1, d.e_id, d.edge_index_0) AS e_id FROM (" + sql.LOCAL_OUT + ") d GROUP BY d.batch"
+
+
+@query(
+    sql.with_(
+        [*sql.TRADE, *sql.TRADE_SEEDS, *sql.khop(Config((4, 3), seed=loading.epoch_seed(42, 2)))],
+        "SELECT n.batch, array_to_string(n.n_id, ',') AS n_id, n.batch_size, array_to_string(l.edge_index_0, ',') AS edge_index_0, array_to_string(l.e_id, ',') AS e_id, array_to_string(s.input_id, ',') AS input_id, array_to_string(s.seed_index, ',') AS seed_index, concat_ws(',', c.n0, c.n1, c.n2) AS num_sampled_nodes, concat_ws(',', f.e1, f.e2) AS num_sampled_edges FROM (SELECT batch, list(node ORDER BY local) AS n_id, sum((hop = 0)::INT)::INT AS batch_size FROM nall GROUP BY batch) n"
+        " JOIN (SELECT batch, sum((hop = 0)::BIGINT)::BIGINT AS n0, sum((hop = 1)::BIGINT)::BIGINT AS n1, sum((hop = 2)::BIGINT)::BIGINT AS n2 FROM nall GROUP BY batch) c ON c.batch = n.batch"
+        " JOIN (SELECT batch, sum((hop = 1)::BIGINT)::BIGINT AS e1, sum((hop = 2)::BIGINT)::BIGINT AS e2 FROM dall GROUP BY batch) f ON f.batch = n.batch"
+        f" JOIN ({_LOADED}) l ON l.batch = n.batch JOIN (SELECT s.batch, list(s.batch * 128 + s.pos ORDER BY s.pos) AS input_id, list(a.local ORDER BY s.pos) AS seed_index FROM s JOIN nall a ON a.batch = s.batch AND a.node = s.node GROUP BY s.batch) s ON s.batch = n.batch",
+    )
+)
+def neighbor_loader(spark, sf_dir):
+    """The third epoch of a loader over all parts."""
+    shift = tables.table(spark, sf_dir, "customer").count()
+    seeds = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_partkey") + shift).alias("node"))
+    rows = loading.neighbor_batches(trade(spark, sf_dir), seeds, 128, Config((4, 3)), epoch=2)
+    return _joined(rows.select("batch", "n_id", "batch_size", "edge_index_0", "e_id", "input_id", "seed_index", "num_sampled_nodes", "num_sampled_edges"))
+
+
+@query(
+    sql.with_(
+        [*_shop_ctes(loading.epoch_seed(42, 1)), "kinds AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in ("customer", "orders", "part", "supplier", "nation", "region")) + "]) AS node_type)"],
+        "SELECT b.batch, k.node_type, coalesce(array_to_string(list(n.node ORDER BY n.local) FILTER (n.node IS NOT NULL), ','), '') AS n_id FROM (SELECT DISTINCT batch FROM seeds) b CROSS JOIN kinds k LEFT JOIN hn n ON n.batch = b.batch AND n.node_type = k.node_type GROUP BY b.batch, k.node_type",
+    )
+)
+def hetero_loader_nodes(spark, sf_dir):
+    """The second epoch of a typed loader over all customers: the nodes of each type, empty ones too."""
+    return _joined(_shop_batches(spark, sf_dir).select("batch", F.explode("n_id").alias("node_type", "n_id")))
+
+
+@query(
+    sql.with_(
+        [*_shop_ctes(loading.epoch_seed(42, 1)), "ends AS (SELECT d.batch, d.src_type || '__' || d.rel || '__' || d.dst_type AS edge_type, d.hop, a.local AS s, b.local AS t, d.eid FROM hd d JOIN hn a ON a.batch = d.batch AND a.node_type = d.src_type AND a.node = d.src JOIN hn b ON b.batch = d.batch AND b.node_type = d.dst_type AND b.node = d.dst)"],
+        "SELECT batch, edge_type, array_to_string(list(s ORDER BY hop, t, eid, s), ',') AS edge_index_0, array_to_string(list(t ORDER BY hop, t, eid, s), ',') AS edge_index_1, array_to_string(list(eid ORDER BY hop, t, eid, s), ',') AS e_id FROM ends GROUP BY batch, edge_type",
+    )
+)
+def hetero_loader_edges(spark, sf_dir):
+    """Its edges by type, where there are any."""
+    of = lambda c, k: F.element_at(c, k)
+    rows = _shop_batches(spark, sf_dir).select("*", F.explode(F.map_keys("e_id")).alias("edge_type"))
+    return _joined(rows.select("batch", "edge_type", *[of(F.col(c), F.col("edge_type")).alias(c) for c in ("edge_index_0", "edge_index_1", "e_id")]).where("size(e_id) > 0"))
+
+
+def _shop_batches(spark, sf_dir):
+    seeds = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("node"))
+    return loading.hetero_batches(shop(spark, sf_dir), "customer", seeds, 128, _SHOP_FANOUT, epoch=1)
+
+
+@query("SELECT p_partkey // 128 AS batch, p_partkey % 128 AS pos, p_partkey AS node FROM part")
+def drawn_order_covers_all(spark, sf_dir):
+    """An epoch's drawn order of all parts visits each once: sorted again, it is the parts in order."""
+    n = tables.table(spark, sf_dir, "part").count()
+    order = loading.coprime(spark, n, 128, *loading.drawn_order(n, 7, 3))
+    return loading.sequential(order.select(F.col("node").alias("pos"), "node"), 128)
+
+
 # dynamic
 
 _CLICKS = "clicks AS (SELECT user_id AS src, json_extract(props, '$.k')::BIGINT AS dst, date_diff('day', DATE '2024-01-01', ts::DATE) + 1 AS epoch FROM events)"
@@ -293,32 +358,49 @@ def dyn_dirty(spark, sf_dir):
     return dynamic.dirty(_log(spark, sf_dir), 20, 24)
 
 
+@query(sql.with_([_CLICKS, _LOG], "SELECT row_number() OVER (ORDER BY user_id, event_id) - 1 AS pos, user_id AS src, event_id % 150 AS dst, EXISTS (SELECT 1 FROM log WHERE epoch <= 15 AND src = user_id AND dst = event_id % 150) AS found FROM events"))
+def dyn_has_edge(spark, sf_dir):
+    """For each event, whether its user clicked on some other thing by epoch 15."""
+    events = tables.table(spark, sf_dir, "events").select("user_id", "event_id").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("e"))
+    first = prefix_sum(events.withColumn("n", F.size("e")), "user_id", "n", "start")
+    wanted = first.select("start", F.col("user_id").alias("src"), F.posexplode("e").alias("i", "event")).select((F.col("start") + F.col("i")).alias("pos"), "src", (F.col("event") % 150).alias("dst"))
+    return dynamic.has_edges(_log(spark, sf_dir), 15, wanted)
+
+
+@query(sql.with_([_CLICKS, _LOG, "d AS (SELECT DISTINCT unnest([src, dst]) AS node FROM log WHERE epoch > 20 AND epoch <= 24)"], "SELECT vec_id AS pos, vec_id AS id, node IS NOT NULL AS dirty FROM embeddings LEFT JOIN d ON node = vec_id"))
+def dyn_is_dirty(spark, sf_dir):
+    wanted = tables.features(spark, sf_dir).select(F.col("id").alias("pos"), "id")
+    return dynamic.is_dirty(_log(spark, sf_dir), 20, 24, wanted)
+
+
 @query(sql.with_([_CLICKS, "c AS (SELECT *, src >= 0 AND src < 90 AND dst >= 0 AND dst < 90 AS ok FROM clicks)", "f AS (SELECT src, dst, min(epoch) AS epoch FROM c WHERE ok GROUP BY ALL)"], "SELECT c.epoch, count(*) AS received, coalesce(any_value(i.n), 0) AS inserted, count(*) - coalesce(any_value(i.n), 0) - sum((NOT ok)::BIGINT)::BIGINT AS duplicates, sum((NOT ok)::BIGINT)::BIGINT AS errors FROM c LEFT JOIN (SELECT epoch, count(*) AS n FROM f GROUP BY ALL) i ON i.epoch = c.epoch GROUP BY c.epoch"))
 def ingest_stats(spark, sf_dir):
     return dynamic.ingest_stats(tables.clicks(spark, sf_dir), 90)
 
 
-def _cache(spark):
-    rows = spark.range(100).where("id % 3 != 0").select("id", (F.col("id") % 4).alias("gen"), F.array(F.col("id").cast("float")).alias("emb"))
+def _cache(spark, sf_dir):
+    """An embedding for each vector, of the generations 0 (never computed) to 3."""
+    rows = tables.features(spark, sf_dir).select("id", (F.col("id") % 4).alias("gen"), F.col("x").alias("emb"))
     return dynamic.EmbeddingCache(rows, 3)
 
 
-_CACHE = ["cache AS (SELECT range AS id, range % 4 AS gen FROM range(100) WHERE range % 3 <> 0)", "wanted AS (SELECT range AS pos, range * 7 % 120 AS id FROM range(150))", _CLICKS, _LOG, "dirty AS (SELECT DISTINCT unnest([src, dst]) AS node FROM log WHERE epoch > 29)"]
+_CACHE = ["cache AS (SELECT vec_id AS id, vec_id % 4 AS gen FROM embeddings)", "wanted AS (SELECT range AS pos, range AS id FROM range((SELECT count(*) FROM embeddings) + 20))", _CLICKS, _LOG, "dirty AS (SELECT DISTINCT unnest([src, dst]) AS node FROM log WHERE epoch > 20)"]
 _STALE = "gen IS NULL OR gen < 3 OR node IS NOT NULL"
 
 
-def _asked(spark):
-    return spark.range(150).select(F.col("id").alias("pos"), (F.col("id") * 7 % 120).alias("id"))
+def _asked(spark, sf_dir):
+    """Every vector's id, and some that there aren't."""
+    return spark.range(tables.features(spark, sf_dir).count() + 20).select(F.col("id").alias("pos"), "id")
 
 
 @query(sql.with_(_CACHE, f"SELECT pos, w.id, ({_STALE}) AS stale FROM wanted w LEFT JOIN cache c ON c.id = w.id LEFT JOIN dirty d ON d.node = w.id"))
 def cache_stale_nodes(spark, sf_dir):
-    return _cache(spark).stale(_asked(spark), dynamic.dirty(_log(spark, sf_dir), 29, 99))
+    return _cache(spark, sf_dir).stale(_asked(spark, sf_dir), dynamic.dirty(_log(spark, sf_dir), 20, 99))
 
 
 @query(sql.with_(_CACHE, f"SELECT pos, w.id, CASE WHEN {_STALE} THEN 'recompute' ELSE 'cached' END AS action FROM wanted w LEFT JOIN cache c ON c.id = w.id LEFT JOIN dirty d ON d.node = w.id"))
 def historical_split(spark, sf_dir):
-    return dynamic.prepare_batch(_cache(spark), _asked(spark), dynamic.dirty(_log(spark, sf_dir), 29, 99))
+    return dynamic.prepare_batch(_cache(spark, sf_dir), _asked(spark, sf_dir), dynamic.dirty(_log(spark, sf_dir), 20, 99))
 
 
 # codecs
@@ -338,9 +420,9 @@ def int8_decode(spark, sf_dir):
     return rows.select("id", F.posexplode("x").alias("i", "x")).select("id", F.col("i").cast("bigint").alias("i"), F.col("x").cast("double").alias("x"))
 
 
-@query("WITH st AS (SELECT DISTINCT o_custkey % 8 AS part, o_orderkey * 256 AS start FROM orders WHERE o_orderkey % 5 = 0), r AS (SELECT part, start // 4096 * 4096 AS lo, least((start + 256 + 4095) // 4096 * 4096, 200000000) AS hi, count(*) AS n FROM st GROUP BY ALL), p AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY part ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r), i AS (SELECT *, sum(new) OVER (PARTITION BY part ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM p) SELECT part, min(lo) AS lo, max(hi) AS hi, sum(n)::BIGINT AS rows FROM i GROUP BY part, island")
+@query("WITH st AS (SELECT DISTINCT o_custkey % 8 AS part, o_orderkey * 256 AS start FROM orders), r AS (SELECT part, start // 4096 * 4096 AS lo, least((start + 256 + 4095) // 4096 * 4096, 200000000) AS hi, count(*) AS n FROM st GROUP BY ALL), p AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY part ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r), i AS (SELECT *, sum(new) OVER (PARTITION BY part ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM p) SELECT part, min(lo) AS lo, max(hi) AS hi, sum(n)::BIGINT AS rows FROM i GROUP BY part, island")
 def coalesce_spans(spark, sf_dir):
-    starts = tables.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((F.col("o_custkey") % 8).alias("part"), (F.col("o_orderkey") * 256).alias("start")).distinct()
+    starts = tables.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 8).alias("part"), (F.col("o_orderkey") * 256).alias("start")).distinct()
     return features.coalesce_spans(starts, ["part"], 256, 4096, 200_000_000)
 
 
@@ -397,7 +479,15 @@ def rabbit_permutation(spark, sf_dir):
     return reorder.rabbit(_clicks_graph(spark, sf_dir)).select("id", "old")
 
 
-@query()
+def _rounds(n: int) -> list[str]:
+    """CTEs l0.. of n rounds of the most frequent neighboring label, ties to the smaller."""
+    out = ["ways AS (SELECT src, dst FROM lg UNION ALL SELECT dst, src FROM lg)", "l0 AS (SELECT range AS id, range AS label FROM range((SELECT max(greatest(src, dst)) + 1 FROM lg)))"]
+    for i in range(1, n + 1):
+        out.append(f"l{i} AS MATERIALIZED (SELECT p.id, coalesce(b.label, p.label) AS label FROM l{i - 1} p LEFT JOIN (SELECT src, label FROM (SELECT src, label, count(*) AS c FROM ways JOIN l{i - 1} ON id = dst WHERE src <> dst GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY src ORDER BY c DESC, label) = 1) b ON b.src = p.id)")
+    return out
+
+
+@query(sql.with_([_CLICKS, "lg AS (SELECT DISTINCT src, dst FROM clicks)", *_rounds(3)], "SELECT id, label AS partition FROM l3"))
 def label_propagation(spark, sf_dir):
     return reorder.label_propagation(_clicks_graph(spark, sf_dir), 3)
 

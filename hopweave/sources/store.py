@@ -38,8 +38,8 @@ def save_hetero(graph: hetero.HeteroGraph, path: str, force: bool = False) -> No
 def load_hetero(spark: SparkSession, path: str, validate: bool = True) -> hetero.HeteroGraph:
     counts = {r["node_type"]: r["num_nodes"] for r in spark.read.parquet(f"{path}/nodes").collect()}
     types = tuple((r["src_type"], r["rel"], r["dst_type"]) for r in spark.read.parquet(f"{path}/types").orderBy("place").collect())
-    edges = spark.read.schema("src bigint, dst bigint, eid bigint, src_type string, rel string, dst_type string").parquet(f"{path}/edges")
-    graph = hetero.HeteroGraph(counts, types, edges.select("src_type", "rel", "dst_type", "src", "dst", "eid"))
+    edges = spark.read.schema("src bigint, dst bigint, eid bigint, place bigint, src_type string, rel string, dst_type string").parquet(f"{path}/edges")
+    graph = hetero.HeteroGraph(counts, types, edges.select("src_type", "rel", "dst_type", "src", "dst", "eid", "place"))
     if validate:
         hetero.validate(graph)
     return graph

@@ -48,6 +48,39 @@ def test_out_of_range_and_bad_arrays(spark):
     assert rows(from_csr_arrays(spark, [0, 2, 3, 3], [1, 2, 2]).edges, "src", "dst") == [(0, 1), (0, 2), (1, 2)]
 
 
+def test_bad_sources_are_named(spark):
+    for bad in ((7, 1), (-1, 0), (None, 1)):
+        with pytest.raises(Exception, match=rf"edge \({'null' if bad[0] is None else bad[0]}, {bad[1]}\): the source isn't in 0..2"):
+            build(spark, [(0, 1), bad], 3).edges.collect()
+
+
+def test_settled_graphs_read_the_same(spark):
+    g = build(spark, [(1, 2), (0, 2), (0, 1), (0, 2)], 3)
+    assert rows(g.settle().persist().edges, "eid", "src", "dst") == rows(g.edges, "eid", "src", "dst")
+    assert rows(g.settle().row_index(), "src", "start", "degree") == rows(Graph(g.nodes, g.edges, 3, 3).row_index(), "src", "start", "degree") == [(0, 0, 3), (1, 3, 1)]
+
+
+def test_seeds_without_a_partition_and_bad_sizes(spark):
+    parts, given_ = spark.createDataFrame([(0, 0), (1, 1)], "id bigint, partition bigint"), spark.createDataFrame([(0, 0), (1, 2), (2, 1)], "pos bigint, node bigint")
+    with pytest.raises(Exception, match="no partition for seed 2"):
+        reorder.partition_batches(parts, given_, 2).collect()
+    with pytest.raises(ValueError, match="positive"):
+        reorder.partition_batches(parts, given_, 0)
+
+
+def test_bipartite_graphs_are_not_permuted(spark):
+    with pytest.raises(ValueError, match="bipartite"):
+        structure.permute(build(spark, [(0, 4), (1, 3), (2, 0)], 3, 5), spark.createDataFrame([(i, i) for i in range(3)], "id bigint, old bigint"))
+
+
+def test_places_of_hubs_are_counted_in_ranges(spark):
+    from hopweave.functions.prefix import place
+
+    data = [(i * 3, i % 4) for i in range(400)]
+    got = place(spark.createDataFrame(data, "eid bigint, dst bigint"), ("dst",), "eid", "at", size=16).collect()
+    assert {(r["eid"], r["at"]) for r in got} == {(e, e // 12) for e, _ in data}
+
+
 def test_permute(spark):
     g = build(spark, [(0, 1), (0, 2), (2, 1)], 3)
     order = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "id bigint, old bigint")

@@ -126,6 +126,30 @@ def test_local_edges_read_neighbor_to_expanded(spark):
     assert s.arrow_tables()["nodes"].column("nodes").to_pylist() == [0, 1, 2, 3]
 
 
+def test_seeds_and_times_are_checked(spark):
+    g = graph(spark, SAMPLER5, 5)
+    for bad in (99, -1, 5, None):
+        with pytest.raises(ValueError, match=r"not in 0\.\.4"):
+            sampling.sample(g, seeds(spark, [0, bad]), Config((2,)))
+    with pytest.raises(ValueError, match="no temporal strategy"):
+        sampling.sample(g, seeds(spark, [0], [1.0]), Config((2,)))
+
+
+@pytest.mark.parametrize("config", [Config((3, 2)), Config((2, 2), weighted=True, max_degree=4), Config((2,), weighted=True, replace=True, subgraph="induced")])
+def test_broadcast_and_shuffled_frontiers_draw_alike(spark, monkeypatch, config):
+    g, at = ring(spark), spark.createDataFrame([(b, i, 31 * b + 7 * i) for b in range(4) for i in range(5)], "batch bigint, pos bigint, node bigint")
+    all_rows = lambda s: (sorted(map(tuple, s.edges.collect())), sorted(map(tuple, s.nodes.collect())))
+    want = all_rows(sampling.sample(g, at, config))
+    monkeypatch.setattr(sampling, "BROADCAST_ROWS", 0)
+    assert all_rows(sampling.sample(g.settle().persist(), at, config)) == want
+
+
+def test_to_dict(spark):
+    got = sampling.sample(graph(spark, SAMPLER5, 5), seeds(spark, [3, 0]), Config((-1, -1))).to_dict()
+    assert got["nodes"][:2] == [3, 0] and got["seeds"] == [0, 1] and got["num_nodes"] == [2, 3, 0] and got["num_edges"] == [4, 4]
+    assert [got["nodes"][i] for i in got["src"][:1]] == [3] and sorted(got["edge_ids"]) == list(range(8))
+
+
 @pytest.mark.parametrize("bad", [{"fanout": ()}, {"fanout": (-2,)}, {"fanout": (1,), "max_degree": 0}, {"fanout": (1,), "subgraph": "x"}, {"fanout": (1,), "temporal": "x"}])
 def test_bad_configs(bad):
     with pytest.raises(ValueError, match="."):
@@ -168,6 +192,25 @@ def test_hetero_follows_incoming_relations(spark, replace):
     assert s.local_edges().count() == len(got)
 
 
+def test_hetero_metadata_and_empty_types(spark):
+    g = shop(spark)
+    assert (g.total_nodes, g.total_edges(), g.type_id("post"), g.type_id(("post", "in", "sub"))) == (11, 21, 1, 1)
+    assert sorted(tuple(r) for r in g.in_adjacency(("post", "in", "sub")).collect()) == [(0, 0, 0, 0), (0, 1, 2, 2), (1, 0, 1, 1)]
+    both = spark.createDataFrame([(0, 0, 1), (0, 1, 0), (0, 2, 1), (1, 0, 0)], "batch bigint, pos bigint, node bigint")
+    s = hetero.sample(g, "sub", both, {("post", "in", "sub"): [1]})
+    assert sorted(tuple(r) for r in s.seed_indices().select("batch", "pos", "local").collect()) == [(0, 0, 0), (0, 1, 1), (0, 2, 0), (1, 0, 0)]
+    assert sorted(tuple(r) for r in s.counts().collect()) == [(0, "post", 2), (0, "sub", 2), (0, "user", 0), (1, "post", 1), (1, "sub", 1), (1, "user", 0)]
+    assert sorted(tuple(r) for r in hetero.from_edge_indices(spark, {"a": 2, "b": 3}, {("a", "to", "b"): ([1, 0, 1], [2, 2, 0])}).edges.select("src", "dst", "eid", "place").collect()) == [(0, 2, 0, 0), (1, 0, 2, 0), (1, 2, 1, 1)]
+
+
+def test_hetero_ends_are_checked(spark):
+    bad = spark.createDataFrame([(0, 0), (1, 9)], "src bigint, dst bigint")
+    with pytest.raises(Exception, match=r"dst 9 isn't in 0\.\.2"):
+        hetero.from_tables({"a": 2, "b": 3}, {("a", "to", "b"): bad}, {("a", "to", "b"): ["dst"]})
+    with pytest.raises(ValueError, match=r"not in 0\.\.1"):
+        hetero.sample(shop(spark), "sub", seeds(spark, [0, 2]), {("post", "in", "sub"): [1]})
+
+
 def test_hetero_errors(spark):
     g = shop(spark)
     with pytest.raises(ValueError, match="unknown edge type"):
