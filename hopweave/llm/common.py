@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopweave.sources.shared import materialize, shared_dir  # noqa: F401
+
 #: A word is a maximal run of characters other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space as characters, for translate().
@@ -25,30 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a local master gets a temporary one; on a
-    cluster that is an error, as executors would write to disks of their own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="hopweave-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors,
-    and runs a Python stage once where checkpoint() would run it twice. The folder goes when the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hopweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def if_small(side: DataFrame, rows: int) -> DataFrame:
     """A hint to broadcast a side of known row count only while it is small; otherwise Spark chooses another join."""
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
