@@ -50,7 +50,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 _ENDS = frozenset(".!?;:\n")
 #: Words that a scanner remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 Arc = tuple[int, int, float, float]
 
