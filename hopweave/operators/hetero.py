@@ -93,7 +93,7 @@ def from_tables(counts: dict[str, int], tables: dict[EdgeType, DataFrame], order
     # an edge's number among those of its type: by source, then by rank
     starts = prefix_sum(edges.groupBy(*TYPED, "src").agg(F.count("*").alias("n")), "src", "n", "start", per=TYPED).drop("n")
     numbered = edges.join(starts, [*TYPED, "src"]).select(*TYPED, "src", "dst", (F.col("start") + F.col("rank") - 1).cast("bigint").alias("eid"))
-    return HeteroGraph(dict(counts), tuple(tables), materialize(place(materialize(numbered, "typed-edges"), (*TYPED, "dst"), "eid", "place"), "typed-edges"))
+    return HeteroGraph(dict(counts), tuple(tables), materialize(place(materialize(numbered, "typed-edges"), (*TYPED, "dst"), "eid", "place").select(*TYPED, "src", "dst", "eid", "place"), "typed-edges"))
 
 
 def from_edge_indices(spark, counts: dict[str, int], edge_indices: dict[EdgeType, tuple]) -> HeteroGraph:
