@@ -4,8 +4,11 @@ Fingerprints that differ in at most `radius` of 64 bits differ in at most radius
 runs of bits. For each run, a vantage-point tree partitions the fingerprints by Hamming distance over that run: a
 node splits at the median distance to its vantage point, and the triangle bound |d(q,v) - d(p,v)| <= d(q,p) says
 which children a query can leave out. Its upper levels, fitted on a bounded sample, are the shards: each
-fingerprint lives in one leaf and is also sent to those leaves that its ball overlaps. Within a shard the tree goes
-on in memory, and pairs are compared over all 64 bits. No pair within the radius is lost, whatever the sample.
+fingerprint lives in one leaf and is also sent to those leaves that its ball overlaps. With four runs and a radius of
+3 balls have radius 0 and overlap nothing: four copies of a fingerprint are shuffled, however many shards there are.
+Within a shard the tree goes on in memory; fingerprints that it can't tell apart go on to trees over each other run,
+one of which differs in at most radius // (blocks - 1) bits. Pairs are compared over all 64 bits. No pair within the
+radius is lost, whatever the sample.
 
 Only a spanning forest of the links leaves a shard, so a group of k near copies gives k - 1 links and not k * k.
 Rows with the same fingerprint are grouped first; leaves whose share of the sample is large are salted.
@@ -28,6 +31,8 @@ from hopweave.llm.components import components
 
 #: Distinct fingerprints that a shard should hold, sample rows for each shard, and the most rows of the sample.
 SHARD_ROWS, SAMPLE_PER_SHARD, SAMPLE_MOST = 60_000, 64, 262_144
+#: Fingerprints of a leaf that can't be split beyond which it is salted: 17 MB of rows.
+LEAF_ROWS = 1_000_000
 #: Comparisons that a shard makes at once.
 BLOCK = 1 << 17
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -111,11 +116,10 @@ def route(nodes: list, mask: int, radius: int, fps: np.ndarray) -> Iterator[tupl
             todo.append((child, who[visits], (home & lives)[visits]))
 
 
-def forest(lanes: np.ndarray, home: np.ndarray, visitors: np.ndarray, mask: int, block_radius: int, radius: int) -> np.ndarray:
-    """For each row of lanes (n rows of 64-bit words), the row that stands for its component, over the links between
-    rows `visitors` and rows `home`: at most `radius` bits apart in the first word."""
-    mask64, first = np.uint64(mask), np.ascontiguousarray(lanes[:, 0])
-    root = np.arange(len(lanes))
+def forest(first: np.ndarray, home: np.ndarray, visitors: np.ndarray, masks: list[int], block: int, radius: int) -> np.ndarray:
+    """For each of the fingerprints `first`, the one that stands for its component, over the links between `visitors`
+    and `home`: at most `radius` bits apart, and at most radius // len(masks) of them under masks[block]."""
+    root = np.arange(len(first))
 
     def find(i: np.ndarray) -> np.ndarray:
         r = root[i]
@@ -130,31 +134,43 @@ def forest(lanes: np.ndarray, home: np.ndarray, visitors: np.ndarray, mask: int,
         rows, f = max(1, BLOCK // len(h)), first[h]
         for at in range(0, len(v), rows):
             part = v[at : at + rows]
-            near = np.bitwise_count(first[part][:, None] ^ f[None, :]) <= radius
-            hit, of = np.nonzero(near)
-            other = part[hit] != h[of]
-            hit, of = hit[other], of[other]
+            apart = find(part)[:, None] != find(h)[None, :]  # what is linked already needs no comparison
+            if not apart.any():
+                continue
+            hit, of = np.nonzero(apart & (np.bitwise_count(first[part][:, None] ^ f[None, :]) <= radius))
             for i, start, end in zip(*_groups(hit), strict=True):
                 tops = np.unique(find(np.append(h[of[start:end]], part[i])))
                 root[tops] = tops[0]
 
-    todo = [(home, visitors)]
+    # each run that may come next, with its radius; what one doesn't tell apart goes on to all others
+    others = [(np.uint64(m), radius // (len(masks) - 1), ()) for i, m in enumerate(masks) if i != block]
+    todo = [(home, visitors, np.uint64(masks[block]), radius // len(masks), others)]
     while todo:
-        h, v = todo.pop()
+        h, v, mask, ball, later = todo.pop()
         if not len(h) or not len(v):
             continue
         if len(h) * len(v) > BLOCK and len(h) > 32:
             vantage = first[h[len(h) // 2]]
-            dh = np.bitwise_count((first[h] ^ vantage) & mask64).astype(np.int16)
+            dh = np.bitwise_count((first[h] ^ vantage) & mask).astype(np.int16)
+            dv = np.bitwise_count((first[v] ^ vantage) & mask).astype(np.int16)
             median = int(np.sort(dh)[(len(dh) - 1) // 2])
             if median == dh.max():
                 median -= 1
-            if median >= 0:
-                dv = np.bitwise_count((first[v] ^ vantage) & mask64).astype(np.int16)
-                todo += [(h[dh <= median], v[dv <= median + block_radius]), (h[dh > median], v[dv > median - block_radius])]
+            if median < 0:
+                v = v[dv <= ball]
+            else:
+                parts = [(h[dh <= median], v[dv <= median + ball]), (h[dh > median], v[dv > median - ball])]
+                if sum(len(a) * len(b) for a, b in parts) < 0.95 * len(h) * len(v):
+                    # the smaller part is popped first, so that few wait
+                    parts.sort(key=lambda x: -len(x[0]))
+                    todo += [(*x, mask, ball, later) for x in parts]
+                    continue
+            if later:
+                todo += [(h, v, *other) for other in later]
                 continue
-        compare(h, v)
-    return find(np.arange(len(lanes)))
+        if len(v):
+            compare(h, v)
+    return find(np.arange(len(first)))
 
 
 def _groups(sorted_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +181,7 @@ def _groups(sorted_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return sorted_ids[start], start, np.append(start[1:], len(sorted_ids))
 
 
-def links(fps: DataFrame, radius: int = 3, blocks: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """From distinct fingerprints fp to links (a, b) that connect whatever lies within the radius; each table is read
     from what the caller has written, so give a materialized frame."""
     spark = fps.sparkSession
@@ -177,7 +193,7 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 2, shard_rows: int = SH
     masks = block_masks(blocks)
     trees = [fit_tree(sample, mask, max(1, -(-len(sample) // shards))) for mask in masks]
     # a leaf that can't be split holds more than its share: so many salts
-    salts = [{x[0]: max(1, round(x[1] * n / max(1, len(sample)) / (2 * shard_rows))) for x in tree if len(x) == 2} for tree in trees]
+    salts = [{x[0]: max(1, round(x[1] * n / max(1, len(sample)) / leaf_rows)) for x in tree if len(x) == 2} for tree in trees]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,16 +208,16 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 2, shard_rows: int = SH
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy()
-        top = forest(fp.view(np.uint64)[:, None], np.flatnonzero(pdf["home"]), np.arange(len(fp)), masks[int(key[0]) >> 40], block_radius, radius)
+        top = forest(fp.view(np.uint64), np.flatnonzero(pdf["home"]), np.arange(len(fp)), masks, int(key[0]) >> 40, radius)
         joined = top != np.arange(len(fp))
         return pd.DataFrame({"a": fp[joined], "b": fp[top[joined]]})
 
     dealt = fps.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * shards)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks * shards)
     return dealt.repartition(parts, "shard").groupBy("shard").applyInPandas(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 4, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links, for every row.
 
     Whole texts are read, however long; rows with equal fingerprints are always linked, and of equal doc_ids any is the smallest. Null or empty texts have fingerprint zero and link like any other; repeated rows stay repeated; a null doc_id
@@ -211,7 +227,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, blocks: in
     fps = materialize(fingerprints(docs, words), "fingerprints")
     reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    labels = materialize(components(links(reps, radius, blocks, shard_rows), "links"), "labels")
+    labels = materialize(components(links(reps, radius, blocks, shard_rows, leaf_rows), "links"), "labels")
     return _classes(fps, reps, labels, "fp").select("doc_id", hexed, "component_id")
 
 

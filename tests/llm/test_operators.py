@@ -564,31 +564,44 @@ def test_fingerprints_and_components(spark, odd, none):
     rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
     fps = np.array([slow_fingerprint(r["text"]) for r in rows], np.uint64)
     want = classes(len(rows), zip(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3), strict=True))
-    for size in (simhash.SHARD_ROWS, 20):
-        got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in simhash.near_duplicates(docs, shard_rows=size).collect()}
+    for given in ({}, {"shard_rows": 20}, {"shard_rows": 20, "leaf_rows": 5}, {"shard_rows": 20, "blocks": 2}):
+        got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in simhash.near_duplicates(docs, **given).collect()}
         assert [got[i] for i in range(len(rows))] == [(int(f), c) for f, c in zip(fps, want, strict=True)]
     found = simhash.near_duplicates(odd).collect()
     assert len(found) == len(ODD) and {r["component_id"] for r in found if r["fingerprint"] == "0" * 16} == {2}
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize(("radius", "blocks"), [(3, 1), (3, 2), (5, 2)])
-def test_trees_lose_no_pair(radius, blocks):
+@pytest.mark.parametrize("block", [1 << 17, 64])
+@pytest.mark.parametrize(("radius", "blocks"), [(3, 1), (3, 2), (5, 2), (3, 4), (5, 3)])
+def test_trees_lose_no_pair(radius, blocks, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(radius + blocks)
     x = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     for k in range(1, 8):
         x = np.append(x, x[:30] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k, 30)).astype(np.uint64), axis=0))
-    x = np.unique(x)
+    # many that are alike in one run of bits, so that only the others tell them apart
+    x = np.unique(np.append(x, (x[:200] & np.uint64(0xFFFFFFFF0000FFFF)) | np.uint64(0x12340000)))
     pairs = [(a, b) for a, b in zip(*np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= radius), strict=True)]
     found = []
-    for mask in simhash.block_masks(blocks):
+    masks = simhash.block_masks(blocks)
+    for k, mask in enumerate(masks):
         tree = simhash.fit_tree(x[::3], mask, 4)
         for _, who, home in simhash.route(tree, mask, radius // blocks, x):
-            top = simhash.forest(x[:, None], who[home], who, mask, radius // blocks, radius)
+            top = simhash.forest(x, who[home], who, masks, k, radius)
             found += [(i, t) for i, t in enumerate(top) if i != t]
     assert classes(len(x), found) == classes(len(x), pairs)
 
 
+@pytest.mark.parametrize("shards", [4, 64, 1024])
+def test_four_runs_need_four_copies(shards):
+    x = np.random.default_rng(shards).integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    for mask in simhash.block_masks(4):
+        tree = simhash.fit_tree(x[: 16 * shards], mask, 16)
+        assert sum(len(node) == 2 for node in tree) >= shards // 2
+        assert sum(len(who) for _, who, _ in simhash.route(tree, mask, 0, x)) == len(x)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     chain = [(i, i + 1) for i in range(60)]
     star = [(100, 100 + i) for i in range(1, 40)]
