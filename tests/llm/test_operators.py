@@ -387,16 +387,63 @@ def test_search_ties_odd_vectors_and_few_candidates(spark):
     got = ann.search(vectors(spark, x, odd)).collect()
     by = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 50, 100)}
     assert {r["query_id"] for r in got} == {0, 50, 100} and by[0] == [1, 2, 3, 4, 5] and by[50] == [0, 0, 1, 2, 3] and by[100] == [0, 0, 1, 2, 3]
+    # one vector many times, its rows repeated, and near ones that must be found behind it
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(8).astype(np.float32)
+    x = np.vstack([np.tile(base, (900, 1)), base + 0.3 * rng.standard_normal((600, 8))]).astype(np.float32)
+    more = [(0, base.tolist())] * 300 + [(7, base.tolist())] * 3
+    every = [(i, v) for i, v in enumerate(x)] + [(i, np.array(v, np.float32)) for i, v in more]
+    ids, all_x = np.array([i for i, _ in every]), np.stack([v for _, v in every])
+    for given in ({}, {"block_rows": 50, "query_rows": 3}):
+        got = ann.search(vectors(spark, x, more), **given).collect()
+        assert len(got) == 30 * 5
+        for q in range(0, 1500, 50):
+            others = (ids != q) | (all_x != x[q]).any(1)
+            score = ann.cosine(x[q], all_x[others])
+            best = np.lexsort((ids[others], -score))[:5]
+            mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+            assert [r["score"] for r in mine[:1]] == [score[best[0]]]
+            if q < 900:
+                assert [r["vec_id"] for r in mine] == ids[others][best].tolist()
     two = ann.search(vectors(spark, np.eye(3, dtype=np.float32)).withColumns({"h": F.lit(1), "list": F.lit(2)})).collect()
     assert [(r["query_id"], r["vec_id"]) for r in sorted(two, key=lambda r: r["rank"])] == [(0, 1), (0, 2)]
     assert ann.search(vectors(spark, x).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("clusters", [0, 300])
+def test_search_recall_beyond_the_sample(spark, clusters):
+    rng = np.random.default_rng(clusters)
+    n = 40_000
+    x = rng.standard_normal((n, 32)).astype(np.float32)
+    if clusters:
+        x = (rng.standard_normal((clusters, 32))[rng.integers(0, clusters, n)] + 0.4 * x).astype(np.float32)
+    rows = vectors(spark, x).repartition(8)
+    got = ann.search(rows, every=200).collect()
+    u = ann.unit(x.astype(np.float64))
+    near = u[::200] @ u.T
+    near[np.arange(len(near)), np.arange(0, n, 200)] = -2
+    want = {(200 * i, j) for i, best in enumerate(np.argsort(-near, axis=1)[:, :5].tolist()) for j in best}
+    assert len(got) == len(want) and len(want & {(r["query_id"], r["vec_id"]) for r in got}) / len(want) >= 0.9
+
+
 def test_scan_abandons_only_what_is_far():
     rng = np.random.default_rng(1)
     block = ann.unit(rng.standard_normal((4000, 64)))
-    kept = [ann.scan(q, block, 6) for q in ann.unit(rng.standard_normal((40, 64)))]
+    queries = ann.unit(rng.standard_normal((40, 64)))
+    lead = (block[:, : ann.STEP] ** 2).sum(1)
+    bounds = ann.first_bounds(queries, block[:1000], 6)
+    kept = [ann.scan(q, block, 6) for q in queries]
     assert np.mean([len(k) for k in kept]) < 400
+    found = total = 0
+    for q, bound, all_kept in zip(queries, bounds, kept, strict=True):
+        assert np.array_equal(ann.scan(q, block, 6, lead=lead), all_kept)
+        far = ((block - q) ** 2).sum(1)
+        assert abs(np.sort(far[:1000])[5] - bound) < 1e-9
+        # what the shared bound leaves is among the nearest, and of the nearest little is lost
+        left = ann.scan(q, block, 6, bound, lead)
+        best = set(np.argsort(far)[:6].tolist())
+        found, total = found + len(best & set(left.tolist())), total + 6
+    assert found / total >= 0.95
 
 
 # 6
