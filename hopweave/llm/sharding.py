@@ -2,9 +2,10 @@
 
 A partial partition is a vector of `shards` sums. The two of largest spread are combined again and again, one in
 descending and the other in ascending order, until one is left; walking the combinations back names each group's
-shard. Groups are dealt by hash into at most MOST_BUCKETS buckets that are differenced in parallel, each giving one
-partial partition with nearly equal sums; these few vectors are differenced in turn on the driver. Groups never
-split, and copies of a text are summed before the shuffle, so a group of any number of rows is one item.
+shard. Groups are dealt by hash into buckets that are differenced in parallel, each giving one partial partition with
+nearly equal sums. FAN of these are differenced in turn in a task, level by level, until the driver can combine the
+last few. Groups never split, and copies of a text are summed before the shuffle, so a group of any number of rows is
+one item.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import materialize
+from hopweave.llm.common import if_small, materialize
 
-#: Groups of one bucket, the most buckets (their vectors go to the driver: 4096 * shards numbers), rows of one slot window.
-BUCKET_GROUPS, MOST_BUCKETS, WINDOW_ROWS = 50_000, 4096, 50_000
+#: Groups of one bucket; partial partitions combined at once, in a task or on the driver; rows of one slot window.
+BUCKET_GROUPS, FAN, WINDOW_ROWS = 50_000, 4096, 50_000
 
 
 def difference(vectors: np.ndarray) -> np.ndarray:
@@ -58,7 +59,35 @@ def difference(vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 16, bucket_groups: int = BUCKET_GROUPS, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def combine(sums: DataFrame, buckets: int, shards: int, fan: int) -> DataFrame:
+    """From sums(bucket, part, bytes) of the buckets' partial partitions to places(bucket, part, shard) for every bucket and part.
+
+    More than `fan` buckets are combined in tasks to one for each `fan` of them, whose places are found in the same way.
+    """
+    spark = sums.sparkSession
+    if buckets <= fan:
+        table = np.zeros((buckets, shards), np.int64)
+        for r in sums.collect():  # at most fan * shards rows
+            table[r["bucket"], r["part"]] = r["bytes"]
+        to = difference(table)
+        return spark.createDataFrame([(b, p, int(to[b, p])) for b in range(buckets) for p in range(shards)], "bucket int, part int, shard int")
+
+    def level(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, at = np.unique(pdf["bucket"].to_numpy(), return_inverse=True)
+        table = np.zeros((len(own), shards), np.int64)
+        table[at, pdf["part"].to_numpy()] = pdf["bytes"].to_numpy()
+        to = difference(table)
+        parts = np.tile(np.arange(shards, dtype=np.int32), len(own))
+        return pd.DataFrame({"bucket": np.repeat(own, shards), "part": parts, "upper": key[0], "upper_part": to.ravel().astype(np.int32), "bytes": table.ravel()})
+
+    grouped = sums.groupBy((F.col("bucket") / fan).cast("int").alias("upper")).applyInPandas(level, "bucket int, part int, upper int, upper_part int, bytes long")
+    grouped = materialize(grouped, "level")
+    upper = grouped.groupBy(F.col("upper").alias("bucket"), F.col("upper_part").alias("part")).agg(F.sum("bytes").alias("bytes"))
+    above = combine(upper, -(-buckets // fan), shards, fan).withColumnsRenamed({"bucket": "upper", "part": "upper_part"})
+    return materialize(grouped.join(above, ["upper", "upper_part"]).select("bucket", "part", "shard"), "places")
+
+
+def shard(docs: DataFrame, shards: int = 16, bucket_groups: int = BUCKET_GROUPS, window_rows: int = WINDOW_ROWS, fan: int = FAN) -> DataFrame:
     """doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null) of every row of docs.
 
     Sizes are UTF-8 bytes plus 1, and equal texts share a shard; a null text counts as an empty one. Repeated rows and null
@@ -70,7 +99,7 @@ def shard(docs: DataFrame, shards: int = 16, bucket_groups: int = BUCKET_GROUPS,
     key = ["size", "text_crc32", "k1", "k2"]
     groups = materialize(base.groupBy(*key).agg(F.sum("size").alias("bytes")), "groups")
     n_groups, n_rows = groups.count(), base.count()
-    buckets = min(MOST_BUCKETS, max(1, -(-n_groups // bucket_groups)))
+    buckets = max(1, -(-n_groups // bucket_groups))
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "k1", "k2"], ascending=[False, True, True], kind="stable")
@@ -80,12 +109,8 @@ def shard(docs: DataFrame, shards: int = 16, bucket_groups: int = BUCKET_GROUPS,
 
     dealt = groups.withColumn("bucket", F.pmod("k1", F.lit(buckets)).cast("int")).groupBy("bucket").applyInPandas(deal, "size long, text_crc32 long, k1 long, k2 long, bytes long, bucket int, part int")
     dealt = materialize(dealt, "parts")
-    sums = np.zeros((buckets, shards), np.int64)
-    for r in dealt.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).collect():  # at most MOST_BUCKETS * shards rows
-        sums[r["bucket"], r["part"]] = r["bytes"]
-    to = difference(sums)
-    places = docs.sparkSession.createDataFrame([(b, p, int(to[b, p])) for b in range(buckets) for p in range(shards)], "bucket int, part int, shard int")
-    placed = base.join(dealt.join(F.broadcast(places), ["bucket", "part"]).select(*key, "shard"), key)
+    places = combine(dealt.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")), buckets, shards, fan)
+    placed = base.join(dealt.join(if_small(places, buckets * shards), ["bucket", "part"]).select(*key, "shard"), key)
     # slots without a window over a whole shard: small windows, and their offsets
     subs = max(1, -(-n_rows // (shards * window_rows)))
     placed = materialize(placed.withColumn("sub", F.pmod(F.xxhash64("doc_id", "k1"), F.lit(subs)).cast("int")), "placed")

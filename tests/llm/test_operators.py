@@ -504,10 +504,24 @@ def test_differencing_beats_greedy():
     assert sums.max() - sums.min() <= greedy.max() - greedy.min()
 
 
+def test_levels_keep_parts_apart_and_sums_near(spark):
+    rng = np.random.default_rng(6)
+    rows = [(b, p, int(rng.integers(0, 1000))) for b in range(300) for p in range(4) if rng.random() < 0.9]
+    sums = spark.createDataFrame(rows, "bucket int, part int, bytes bigint").repartition(4)
+    for fan in (500, 50, 7):
+        places = {(r["bucket"], r["part"]): r["shard"] for r in sharding.combine(sums, 300, 4, fan).collect()}
+        given = {b for b, _, _ in rows}
+        assert all(sorted(places[b, p] for p in range(4)) == [0, 1, 2, 3] for b in given)
+        load = Counter()
+        for b, p, n in rows:
+            load[places[b, p]] += n
+        assert max(load.values()) - min(load.values()) <= 0.001 * sum(load.values())
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_shards(spark, odd, none, small):
     docs = spark.createDataFrame([(i, prose(i % 300, 3 + i % 300 % 40)) for i in range(900)] + [(None, None), (1000, ""), (1001, "é")], "doc_id bigint, text string").repartition(5)
-    got = sharding.shard(docs, 4, **({"bucket_groups": 40, "window_rows": 30} if small else {})).collect()
+    got = sharding.shard(docs, 4, **({"bucket_groups": 40, "window_rows": 30, "fan": 3} if small else {})).collect()
     assert len(got) == 903
     text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     of, slots, load = defaultdict(set), defaultdict(list), Counter()
