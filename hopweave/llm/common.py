@@ -17,6 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 
 #: Rows whose texts a Python worker holds as objects at once.
 SLICE = 512
+#: Bytes of a batch that goes to a Python worker, where the session still has Spark's own bound: texts count by bytes, not rows.
+BATCH_BYTES, _BOUND, _DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Rows of a side that may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -31,7 +33,11 @@ def if_small(side: DataFrame, rows: int) -> DataFrame:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function that make() builds once in each task and that gets at most SLICE rows at a time."""
+    """mapInArrow with a function that make() builds once in each task and that gets at most SLICE rows at a time, from
+    batches of about BATCH_BYTES; a bound that the session sets itself stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_BOUND, None) == _DEFAULT:
+        conf.set(_BOUND, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
