@@ -16,7 +16,7 @@ Rows with the same fingerprint are grouped first; leaves whose share of the samp
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -231,8 +231,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, blocks: in
     return _classes(fps, reps, labels, "fp").select("doc_id", hexed, "component_id")
 
 
-#: Rows of a shard of a band; candidates that are compared with a row before the links found are looked at again.
+#: Texts whose hashes fill a slice, rows of a group of candidates that one task compares, candidates that are compared with
+#: a row before the links found are looked at again.
 BAND_ROWS, VERIFY = 30_000, 64
+#: Hashes of a text that make up a slice's share; how many sets make a hash frequent, and frequent hashes that are known to all.
+SLICE_HASHES, FREQUENT, FREQUENT_MOST = 100, 16, 262_144
+#: Bits of a hash that the filter keeps; the upper ones name the slice, 32 stay.
+LOW_BITS = 48
+_TOP = LOW_BITS - 32
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -274,6 +280,52 @@ def size_bands(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(first)
 
 
+def slices_for(hashes: int, band_rows: int) -> int:
+    """A power of two, so that a slice is the upper bits of a hash."""
+    return 1 << min(_TOP, max(0, -(-hashes // (SLICE_HASHES * band_rows)) - 1).bit_length())
+
+
+def place(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """The name of each hash in the filter: its slice, then 32 bits. A function of the hash's lowest LOW_BITS bits."""
+    low = hashes & np.uint64((1 << LOW_BITS) - 1)
+    return ((low >> np.uint64(LOW_BITS - slices.bit_length() + 1)) << np.uint64(32)) | (low & np.uint64(0xFFFFFFFF))
+
+
+def cut(names: np.ndarray, of: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
+    """For each slice: its number, the 32 bits of the hashes named, how many each set has there, and the sets' columns.
+    Each hash is in one slice alone, however many slices there are; `of` is the position in columns of each hash's set."""
+    order = np.lexsort((of, names >> np.uint64(32)))
+    names, of = names[order], of[order]
+    for number, start, end in zip(*_groups(names >> np.uint64(32)), strict=True):
+        who, first, last = _groups(of[start:end])
+        yield int(number), [(names[start:end] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (last - first).astype("<u4").tobytes(), *(c[who].tobytes() for c in columns)]
+
+
+def seen_elsewhere(names: np.ndarray, band: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the hashes of a slice: the sets that share some with another set of their band or one next to it, and how many;
+    the hashes that FREQUENT sets or more have, and how many have them. A set counts once, however often it is repeated."""
+    order = np.lexsort((ids, band, names))
+    names, band, ids = names[order], band[order], ids[order]
+    new = np.append(True, (names[1:] != names[:-1]) | (ids[1:] != ids[:-1]))[: len(names)]
+    names, band, ids = names[new], band[new], ids[new]
+    next_ = (names[1:] == names[:-1]) & (band[1:] - band[:-1] <= 1)
+    who, shared = np.unique(ids[np.append(False, next_)[: len(ids)] | np.append(next_, False)[: len(ids)]], return_counts=True)
+    value, first, last = _groups(names)
+    often = last - first >= FREQUENT
+    return who, shared, value[often], (last - first)[often]
+
+
+def chains(token: np.ndarray, n: np.ndarray, ids: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect sets with a common token: in order of size, each with the first of those from which sizes grow by
+    steps that allow a link. Sizes that rule out a step rule out a link across it. k sets give k - 1 pairs at most."""
+    order = np.lexsort((ids, n, token))
+    token, n, ids = token[order], n[order], ids[order]
+    start = np.append(True, (token[1:] != token[:-1]) | (n[:-1] * den < n[1:] * num))[: len(ids)]
+    head = ids[np.maximum.accumulate(np.where(start, np.arange(len(ids)), 0))]
+    pairs = np.unique(np.stack([ids, head])[:, ids != head], axis=1)
+    return pairs[0], pairs[1]
+
+
 def jaccard_forest(sets: list[np.ndarray], home: np.ndarray, num: int, den: int) -> np.ndarray:
     """For each set, the one that stands for its component, over links of Jaccard similarity num / den or more between
     a set of `home` and any other.
@@ -331,12 +383,16 @@ def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_
     """doc_id, t (the text's digest) and id (of its set of word shingles) of each row of docs; and labels(node, root) of the
     ids that are linked: those whose sets have a Jaccard similarity of `similarity` or more.
 
-    Rows with equal sets are grouped. Sets whose sizes differ by more than the similarity allows can't be linked, so
-    rows are dealt by bands of size, each compared with itself and the next, in shards. First each set shows its
-    smallest hashes, cut to 32 bits: where too few of them occur in another set (low_shared()), no set is similar, and
-    equal cuts of unequal hashes only let more pass. Sets that pass are made again from the text, dealt in the same
-    way, and each link is decided by all 64-bit hashes. No link is lost and none is added, but for equal hashes of
-    unequal shingles.
+    Rows with equal sets are grouped. First each set shows its smallest hashes, cut to 48 bits: where too few of them
+    occur in another set of about its size (low_shared()), no set is similar, and equal cuts of unequal hashes only let
+    more pass. Sets that pass are made again from the text. Those that are similar share one of their
+    n - _least(n) + 1 rarest hashes, so chains() of the sets that share one connect them; what is connected is compared
+    in one place, and each link is decided by all 64-bit hashes. No link is lost and none is added, but for equal hashes
+    of unequal shingles.
+
+    Hashes are dealt by value in slices and sets by what they are connected with: each is shuffled once, however many
+    shards there are. Only a connected group of more than band_rows sets is dealt to several shards, whole to each, as
+    one set of a shard is compared with all of the group.
     """
     exact = Fraction(str(similarity))
     num, den = exact.numerator, exact.denominator
@@ -350,42 +406,54 @@ def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_
     def show(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t or b"", words) for t in as_bytes(batch.column(1))]
         n = np.array([len(x) for x in sets], np.int64)
-        low = [(x[:k] >> np.uint64(32)).astype("<u4").tobytes() for x, k in zip(sets, low_rows(n, num, den).tolist(), strict=True)]
-        band = np.searchsorted(bands, n, "right").astype(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(band), ids(sets), pa.array(low, pa.binary())], ["doc_id", "t", "n", "band", "id", "low"])
+        shown = low_rows(n, num, den)
+        low = [x[:k].view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8].tobytes() for x, k in zip(sets, shown.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(low_shared(n, num, den)), ids(sets), pa.array(low, pa.binary())], ["doc_id", "t", "n", "least", "id", "low"])
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t or b"", words) for t in as_bytes(batch.column(0))]
-        n = np.array([len(x) for x in sets], np.int64)
-        band = np.searchsorted(bands, n, "right").astype(np.int64)
-        return pa.RecordBatch.from_arrays([ids(sets), pa.array(n), pa.array(band), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["id", "n", "band", "hashes"])
-
-    def in_shards(rows: DataFrame, data: str, join: Callable, schema: str) -> DataFrame:
-        # one count for each band: at most a few hundred, as sizes of texts go
-        salts = {r["band"]: -(-r["count"] // band_rows) for r in rows.groupBy("band").count().collect()}
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                band, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                own = (own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                for b in np.unique(band).tolist():
-                    at = np.flatnonzero(band == b)
-                    part = batch.take(pa.array(at))
-                    for to in (b, b - 1):
-                        for salt in range(salts.get(to, 0)):
-                            home = (own[at] % np.uint64(salts[to]) == salt) & (to == b)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), (to << 20) | salt, np.int64)), pa.array(home), *part.columns[1:]], ["shard", "home", "id", "n", data])
-
-        dealt = rows.select("band", "id", "n", data).mapInArrow(deal, f"shard long, home boolean, id long, n long, {data} binary")
-        return dealt.repartition(max(parts, 2 * sum(salts.values())), "shard").groupBy("shard").applyInPandas(join, schema)
-
-    def may_link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        low = [np.frombuffer(x, "<u4") for x in pdf["low"]]
-        of = np.repeat(np.arange(len(low)), [len(x) for x in low])
-        _, code, often = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
-        shared = np.bincount(of[often[code] > 1], minlength=len(low))
-        n = pdf["n"].to_numpy()
-        return pd.DataFrame({"id": pdf["id"].to_numpy()[(n > 0) & (shared >= low_shared(n, num, den))]})
+        return pa.RecordBatch.from_arrays([ids(sets), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["id", "hashes"])
+
+    def deal_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, n, low = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            of = np.repeat(np.arange(len(low)), [len(x) * 8 // LOW_BITS for x in low])
+            hashes = np.zeros((len(of), 8), np.uint8)
+            hashes[:, : LOW_BITS // 8] = np.frombuffer(b"".join(low), np.uint8).reshape(-1, LOW_BITS // 8)
+            band = np.searchsorted(bands, n, "right").astype("<u2")
+            yield from blobs(place(hashes.view("<u8").ravel(), slices), of, [own.astype("<i8"), band], "band")
+
+    def blobs(names: np.ndarray, of: np.ndarray, columns: list[np.ndarray], last: str) -> Iterator[pa.RecordBatch]:
+        rows = list(cut(names, of, columns))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*(x[1] for x in rows), strict=True))], ["slice", "names", "counts", "ids", last])
+
+    def opened(pdf: pd.DataFrame, kind: str, last: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        counts = np.frombuffer(b"".join(pdf["counts"]), "<u4")
+        return np.frombuffer(b"".join(pdf["names"]), "<u4"), np.repeat(np.frombuffer(b"".join(pdf[last]), kind).astype(np.int64), counts), np.repeat(np.frombuffer(b"".join(pdf["ids"]), "<i8"), counts)
+
+    def in_slice(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names, band, own = opened(pdf, "<u2", "band")
+        who, shared, value, often = seen_elsewhere(names, band, own)
+        return pd.DataFrame({"of_hash": np.arange(len(who) + len(value)) >= len(who), "key": np.append(who, (int(key[0]) << 32) | value.astype(np.int64)), "value": np.append(shared, often)})
+
+    def deal_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = frequent.value
+        for batch in filter(len, batches):
+            own, sets = batch.column(0).to_numpy(), [np.frombuffer(x, "<u8") for x in batch.column(1).to_pylist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            of, hashes = np.repeat(np.arange(len(n)), n), np.concatenate(sets)
+            name = place(hashes, slices)
+            at = np.searchsorted(known, name)
+            often = np.where(known[np.minimum(at, len(known) - 1)] == name, times[np.minimum(at, len(known) - 1)], 0) if len(known) else np.zeros(len(name), np.int64)
+            order = np.lexsort((hashes, often, of))
+            shown = np.arange(len(of)) - (np.cumsum(n) - n)[of] < (n - _least(n, num, den) + 1)[of]
+            yield from blobs(name[order][shown], of[shown], [own.astype("<i8"), n.astype("<i8")], "n")
+
+    def connect(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names, n, own = opened(pdf, "<i8", "n")
+        a, b = chains(names, n, own, num, den)
+        return pd.DataFrame({"a": a, "b": b})
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id")
@@ -394,14 +462,28 @@ def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_
         joined = top != np.arange(len(same))
         return pd.DataFrame({"a": same[joined], "b": same[top[joined]]})
 
+    blob = "slice long, names binary, counts binary, ids binary, "
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
-    fps = materialize(map_batches(given, lambda: show, "doc_id long, t long, n long, band long, id long, low binary"), "shown")
-    reps = materialize(fps.groupBy("id", "n", "band", "low").agg(_first()).select("id", "n", "band", "low", "one.doc_id", "one.t"), "bands")
-    passed = materialize(in_shards(reps, "low", may_link, "id long").distinct(), "passed")
-    wanted = reps.join(passed, "id", "left_semi").select("doc_id", "t")
+    shown = materialize(map_batches(given, lambda: show, "doc_id long, t long, n long, least long, id long, low binary"), "shown")
+    slices = slices_for((shown.agg(F.sum(F.length("low"))).head()[0] or 0) * 8 // LOW_BITS, band_rows)
+    dealt = shown.where("n > 0").select("id", "n", "low").mapInArrow(deal_low, blob + "band binary")
+    found = materialize(dealt.repartition(max(parts, slices), "slice").groupBy("slice").applyInPandas(in_slice, "of_hash boolean, key long, value long"), "found")
+    top = found.where("of_hash").orderBy(F.desc("value"), "key").limit(FREQUENT_MOST).select("key", "value").toPandas().sort_values("key")
+    frequent = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64).view(np.uint64), top["value"].to_numpy(np.int64)))
+    reps = shown.where("n > 0").groupBy("id", "least").agg(_first()).select("id", "least", "one.doc_id", "one.t")
+    shared = found.where("not of_hash").groupBy(F.col("key").alias("id")).agg(F.sum("value").alias("shared"))
+    wanted = reps.join(shared, "id").where("shared >= least").select("doc_id", "t")
     chosen = given.alias("g").join(wanted.alias("w"), F.expr("g.t = w.t and g.doc_id <=> w.doc_id"), "left_semi").select("text")
-    sets = materialize(map_batches(chosen, lambda: whole, "id long, n long, band long, hashes binary"), "sets")
-    return fps.select("doc_id", "t", "id"), materialize(components(in_shards(sets, "hashes", join, "a long, b long"), "links"), "labels")
+    sets = materialize(map_batches(chosen, lambda: whole, "id long, hashes binary"), "sets")
+    edges = sets.mapInArrow(deal_tokens, blob + "n binary").repartition(max(parts, slices), "slice").groupBy("slice").applyInPandas(connect, "a long, b long")
+    groups = materialize(components(edges, "candidates"), "groups")
+    # a group beyond band_rows is dealt whole to each of its shards; there are few such
+    large = groups.groupBy("root").count().where(F.col("count") > band_rows).select("root", F.ceil(F.col("count") / band_rows).cast("int").alias("salts"))
+    bins = max(parts, -(-groups.count() // band_rows) * 8)
+    shards = groups.join(large, "root", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    shards = shards.select(F.col("node").alias("id"), F.when(F.col("salts") > 1, F.xxhash64("root", "salt")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("shard"), (F.pmod(F.xxhash64("node"), "salts") == F.col("salt")).alias("home"))
+    links = sets.join(shards, "id").repartition(bins, "shard").groupBy("shard").applyInPandas(join, "a long, b long")
+    return shown.select("doc_id", "t", "id"), materialize(components(links, "links"), "labels")
 
 
 def _first() -> F.Column:

@@ -812,3 +812,35 @@ def test_similar_components_equal_brute_force(spark):
     for rows in (simhash.BAND_ROWS, 11):
         got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, band_rows=rows).collect()}
         assert [got[i] for i in range(len(texts))] == want
+
+
+def test_more_shards_shuffle_no_more_copies(spark):
+    # texts of one size, with two near copies each: one band of sizes, dealt to one shard or to dozens
+    docs = spark.createDataFrame([(3 * i + j, " ".join(f"s{i}x{m}" for m in range(100)) + f" end{j}") for i in range(400) for j in range(3)], "doc_id bigint, text string").repartition(3)
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled():
+        stages = store.stageList(jvm.jvm.java.util.ArrayList(), False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.length()))}
+
+    wrote = []
+    for rows in (simhash.BAND_ROWS, 20):
+        before = shuffled()
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, band_rows=rows).collect()} == {i: i - i % 3 for i in range(1200)}
+        wrote.append(sum(b for k, b in shuffled().items() if k not in before))
+    assert 0 < wrote[1] < 3 * wrote[0]
+
+
+def test_each_hash_is_dealt_to_one_slice():
+    rng = np.random.default_rng(3)
+    of = np.repeat(np.arange(200), 150)
+    hashes = rng.integers(0, 1 << 63, len(of), dtype=np.uint64)
+    for slices in (1, 4, 64, 1024):
+        got = [np.frombuffer(x[0], "<u4") for _, x in simhash.cut(simhash.place(hashes, slices), of, [of])]
+        assert len(got) == slices and sum(map(len, got)) == len(of)
+
+
+def test_sets_with_a_common_hash_are_connected():
+    n = np.array([10, 10, 12, 15, 18, 30, 100])
+    a, b = simhash.chains(np.zeros(7, np.uint64), n, np.arange(7), 4, 5)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 0), (2, 0), (3, 0), (4, 0)]
