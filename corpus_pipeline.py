@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, SimHash near-duplicates, secrets, mixing, BPE. Each stage's rows are the next one's documents.
 
 Stages get what their predecessor kept, with the columns of documents; the last returns ids and the decoded text.
-The toxicity model is learned from the labelled rows of the stage's own input. Near-duplicates are compared over five-word shingles.
+The toxicity model is learned from the labelled rows of the stage's own input. Near-duplicates come from op10's SimHash trees and are compared
+over five-word shingles; those that 64 bits can't see are found by the shingles.
 
 In every stage texts are read as a whole, however long; extra columns pass through, whatever they are called, up to the last
 stage; an empty table gives an empty table. What else each does with nulls, repeats and ties stands with it.

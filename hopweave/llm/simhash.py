@@ -326,12 +326,13 @@ def chains(token: np.ndarray, n: np.ndarray, ids: np.ndarray, num: int, den: int
     return pairs[0], pairs[1]
 
 
-def jaccard_forest(sets: list[np.ndarray], home: np.ndarray, num: int, den: int) -> np.ndarray:
+def jaccard_forest(sets: list[np.ndarray], home: np.ndarray, num: int, den: int, near: np.ndarray | None = None) -> np.ndarray:
     """For each set, the one that stands for its component, over links of Jaccard similarity num / den or more between
     a set of `home` and any other.
 
-    Sets that are similar share one of their n - _least(n) + 1 rarest hashes: these give the candidates, and all
-    hashes decide. Candidates in one component already aren't compared.
+    near: the SimHash class of each set. Those of a class are candidates first, each with the first of its class. Sets
+    that are similar share one of their n - _least(n) + 1 rarest hashes: these give the other candidates. All hashes
+    decide in both cases, and candidates in one component already aren't compared.
     """
     n = np.array([len(x) for x in sets], np.int64)
     root = np.arange(len(n))
@@ -359,23 +360,32 @@ def jaccard_forest(sets: list[np.ndarray], home: np.ndarray, num: int, den: int)
         return r
 
     seen, mark = np.zeros(len(n), bool), np.zeros(len(often), bool)
+
+    def check(x: int, y: np.ndarray) -> None:
+        y = y[np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num]
+        mark[code[starts[x] : ends[x]]] = True
+        while len(y := y[find(y) != find(np.array([x]))]):
+            part, y = y[:VERIFY], y[VERIFY:]
+            both = np.array([np.count_nonzero(mark[code[starts[i] : ends[i]]]) for i in part.tolist()])
+            alike = part[both * den >= num * (n[part] + n[x] - both)]
+            if len(alike):
+                tops = np.unique(find(np.append(alike, x)))
+                root[tops] = tops[0]
+        mark[code[starts[x] : ends[x]]] = False
+
+    if near is not None:
+        order = np.argsort(near, kind="stable")
+        for _, a, b in zip(*_groups(near[order]), strict=True):
+            if b - a > 1:
+                x, y = int(order[a]), order[a + 1 : b]
+                check(x, y if home[x] else y[home[y]])
     for x in np.flatnonzero(home).tolist():
-        mine = code[starts[x] : ends[x]]
         seen[:] = False
-        for c in mine[shown[starts[x] : ends[x]]].tolist():
+        for c in code[starts[x] : ends[x]][shown[starts[x] : ends[x]]].tolist():
             a, b = at[c]
             seen[posted[a:b]] = True
         y = np.flatnonzero(seen)
-        y = y[(y != x) & ~(home[y] & (y < x)) & (np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num)]
-        mark[mine] = True
-        while len(y := y[find(y) != find(np.array([x]))]):
-            part, y = y[:VERIFY], y[VERIFY:]
-            both = np.array([np.count_nonzero(mark[code[starts[i] : ends[i]]]) for i in part.tolist()])
-            near = part[both * den >= num * (n[part] + n[x] - both)]
-            if len(near):
-                tops = np.unique(find(np.append(near, x)))
-                root[tops] = tops[0]
-        mark[mine] = False
+        check(x, y[(y != x) & ~(home[y] & (y < x))])
     return find(np.arange(len(n)))
 
 
@@ -383,11 +393,13 @@ def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_
     """doc_id, t (the text's digest) and id (of its set of word shingles) of each row of docs; and labels(node, root) of the
     ids that are linked: those whose sets have a Jaccard similarity of `similarity` or more.
 
-    Rows with equal sets are grouped. First each set shows its smallest hashes, cut to 48 bits: where too few of them
+    Rows with equal sets are grouped. The fingerprints of near_duplicates() and their links() come first: whatever lies
+    within three bits is a class, and its sets are compared with each other. A similarity is no distance of 64 bits, so
+    all hashes decide each link, and what lies further apart is found by the hashes. Each set shows its smallest, cut to 48 bits: where too few of them
     occur in another set of about its size (low_shared()), no set is similar, and equal cuts of unequal hashes only let
     more pass. Sets that pass are made again from the text. Those that are similar share one of their
     n - _least(n) + 1 rarest hashes, so chains() of the sets that share one connect them; what is connected is compared
-    in one place, and each link is decided by all 64-bit hashes. No link is lost and none is added, but for equal hashes
+    in one place, classes first, and each link is decided by all 64-bit hashes. No link is lost and none is added, but for equal hashes
     of unequal shingles.
 
     Hashes are dealt by value in slices and sets by what they are connected with: each is shuffled once, however many
@@ -404,15 +416,16 @@ def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_
         return pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64))
 
     def show(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t or b"", words) for t in as_bytes(batch.column(1))]
+        texts = [t or b"" for t in as_bytes(batch.column(1))]
+        sets, fp = [shingle_set(t, words) for t in texts], np.array([fingerprint(t) for t in texts], np.uint64)
         n = np.array([len(x) for x in sets], np.int64)
         shown = low_rows(n, num, den)
         low = [x[:k].view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8].tobytes() for x, k in zip(sets, shown.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(low_shared(n, num, den)), ids(sets), pa.array(low, pa.binary())], ["doc_id", "t", "n", "least", "id", "low"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(low_shared(n, num, den)), ids(sets), pa.array(fp.view(np.int64)), pa.array(low, pa.binary())], ["doc_id", "t", "n", "least", "id", "fp", "low"])
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t or b"", words) for t in as_bytes(batch.column(0))]
-        return pa.RecordBatch.from_arrays([ids(sets), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["id", "hashes"])
+        return pa.RecordBatch.from_arrays([ids(sets), batch.column(1), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["id", "near", "hashes"])
 
     def deal_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -440,7 +453,7 @@ def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_
     def deal_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = frequent.value
         for batch in filter(len, batches):
-            own, sets = batch.column(0).to_numpy(), [np.frombuffer(x, "<u8") for x in batch.column(1).to_pylist()]
+            own, near, sets = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
             n = np.array([len(x) for x in sets], np.int64)
             of, hashes = np.repeat(np.arange(len(n)), n), np.concatenate(sets)
             name = place(hashes, slices)
@@ -448,7 +461,9 @@ def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_
             often = np.where(known[np.minimum(at, len(known) - 1)] == name, times[np.minimum(at, len(known) - 1)], 0) if len(known) else np.zeros(len(name), np.int64)
             order = np.lexsort((hashes, often, of))
             shown = np.arange(len(of)) - (np.cumsum(n) - n)[of] < (n - _least(n, num, den) + 1)[of]
-            yield from blobs(name[order][shown], of[shown], [own.astype("<i8"), n.astype("<i8")], "n")
+            # the class is one more of a set's tokens
+            name = np.append(name[order][shown], place(near.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), slices))
+            yield from blobs(name, np.append(of[shown], np.arange(len(n))), [own.astype("<i8"), n.astype("<i8")], "n")
 
     def connect(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names, n, own = opened(pdf, "<i8", "n")
@@ -458,23 +473,25 @@ def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id")
         same = pdf["id"].to_numpy()
-        top = jaccard_forest([np.frombuffer(x, "<u8") for x in pdf["hashes"]], pdf["home"].to_numpy(bool), num, den)
+        top = jaccard_forest([np.frombuffer(x, "<u8") for x in pdf["hashes"]], pdf["home"].to_numpy(bool), num, den, pdf["near"].to_numpy())
         joined = top != np.arange(len(same))
         return pd.DataFrame({"a": same[joined], "b": same[top[joined]]})
 
     blob = "slice long, names binary, counts binary, ids binary, "
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
-    shown = materialize(map_batches(given, lambda: show, "doc_id long, t long, n long, least long, id long, low binary"), "shown")
+    shown = materialize(map_batches(given, lambda: show, "doc_id long, t long, n long, least long, id long, fp long, low binary"), "shown")
+    fps = materialize(shown.where("n > 0").select("fp").distinct(), "distinct")
+    classes = materialize(components(links(fps), "near"), "classes").withColumnRenamed("node", "fp")
     slices = slices_for((shown.agg(F.sum(F.length("low"))).head()[0] or 0) * 8 // LOW_BITS, band_rows)
     dealt = shown.where("n > 0").select("id", "n", "low").mapInArrow(deal_low, blob + "band binary")
     found = materialize(dealt.repartition(max(parts, slices), "slice").groupBy("slice").applyInPandas(in_slice, "of_hash boolean, key long, value long"), "found")
     top = found.where("of_hash").orderBy(F.desc("value"), "key").limit(FREQUENT_MOST).select("key", "value").toPandas().sort_values("key")
     frequent = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64).view(np.uint64), top["value"].to_numpy(np.int64)))
-    reps = shown.where("n > 0").groupBy("id", "least").agg(_first()).select("id", "least", "one.doc_id", "one.t")
+    reps = shown.where("n > 0").groupBy("id", "least").agg(_first(), F.min("fp").alias("fp")).select("id", "least", "one.doc_id", "one.t", "fp")
     shared = found.where("not of_hash").groupBy(F.col("key").alias("id")).agg(F.sum("value").alias("shared"))
-    wanted = reps.join(shared, "id").where("shared >= least").select("doc_id", "t")
-    chosen = given.alias("g").join(wanted.alias("w"), F.expr("g.t = w.t and g.doc_id <=> w.doc_id"), "left_semi").select("text")
-    sets = materialize(map_batches(chosen, lambda: whole, "id long, hashes binary"), "sets")
+    wanted = reps.join(shared, "id").where("shared >= least").join(classes, "fp", "left").select("doc_id", "t", F.coalesce("root", "fp").alias("near"))
+    chosen = given.alias("g").join(wanted.alias("w"), F.expr("g.t = w.t and g.doc_id <=> w.doc_id")).select("text", "near")
+    sets = materialize(map_batches(chosen, lambda: whole, "id long, near long, hashes binary"), "sets")
     edges = sets.mapInArrow(deal_tokens, blob + "n binary").repartition(max(parts, slices), "slice").groupBy("slice").applyInPandas(connect, "a long, b long")
     groups = materialize(components(edges, "candidates"), "groups")
     # a group beyond band_rows is dealt whole to each of its shards; there are few such
@@ -482,8 +499,8 @@ def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_
     bins = max(parts, -(-groups.count() // band_rows) * 8)
     shards = groups.join(large, "root", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     shards = shards.select(F.col("node").alias("id"), F.when(F.col("salts") > 1, F.xxhash64("root", "salt")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("shard"), (F.pmod(F.xxhash64("node"), "salts") == F.col("salt")).alias("home"))
-    links = sets.join(shards, "id").repartition(bins, "shard").groupBy("shard").applyInPandas(join, "a long, b long")
-    return shown.select("doc_id", "t", "id"), materialize(components(links, "links"), "labels")
+    found_links = sets.join(shards, "id").repartition(bins, "shard").groupBy("shard").applyInPandas(join, "a long, b long")
+    return shown.select("doc_id", "t", "id"), materialize(components(found_links, "links"), "labels")
 
 
 def _first() -> F.Column:

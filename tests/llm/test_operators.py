@@ -844,3 +844,21 @@ def test_sets_with_a_common_hash_are_connected():
     n = np.array([10, 10, 12, 15, 18, 30, 100])
     a, b = simhash.chains(np.zeros(7, np.uint64), n, np.arange(7), 4, 5)
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 0), (2, 0), (3, 0), (4, 0)]
+
+
+def test_classes_come_first_and_hashes_decide(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64)) for _ in range(12)]
+    sets = [np.sort(rng.permutation(x)[: 60 - int(rng.integers(0, 12))]) for x in base for _ in range(6)]
+    family, n = np.repeat(np.arange(12), 6), len(sets)
+    share = [[np.intersect1d(a, b).size / np.union1d(a, b).size >= 0.8 for b in sets] for a in sets]
+    want = classes(n, zip(*np.nonzero(share), strict=True))
+    homes = [np.ones(n, bool), np.arange(n) % 2 == 0, np.arange(n) % 2 == 1]
+    for near in (None, family, np.zeros(n, np.int64), np.arange(n) % 5):
+        tops = [simhash.jaccard_forest(sets, home, 4, 5, near) for home in homes]
+        assert classes(n, enumerate(tops[0].tolist())) == want
+        assert classes(n, [*enumerate(tops[1].tolist()), *enumerate(tops[2].tolist())]) == want
+    # without the hashes in common, classes alone link what is similar to the first of each
+    monkeypatch.setattr(simhash, "_least", lambda k, num, den: k + 1)
+    top = simhash.jaccard_forest(sets, homes[0], 4, 5, family)
+    assert all((top[i] == top[i - i % 6]) == share[i][i - i % 6] for i in range(n))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from hopweave.llm import bpe, mixing, secrets, toxicity
+from hopweave.llm import bpe, mixing, secrets, simhash, toxicity
 from hopweave.llm.common import materialize, table
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +94,15 @@ def test_last_stage_equals_the_library(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[5].count()
+
+
+def test_near_duplicates_come_through_the_trees(spark, stages, monkeypatch):
+    asked, trees, classes = [], simhash.links, []
+    forest = simhash.components
+    monkeypatch.setattr(simhash, "links", lambda fps, *a, **b: asked.append(fps) or trees(fps, *a, **b))
+    monkeypatch.setattr(simhash, "components", lambda edges, name: classes.append(name) or forest(edges, name))
+    left = corpus_pipeline.dedup_stage(spark, stages[1], SF)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(r["doc_id"] for r in stages[2].collect())
+    assert len(asked) == 1 and "near" in classes
+    words = [t for t in (r["text"] for r in stages[1].collect()) if (t or "").split()]
+    assert {r["fp"] & (2**64 - 1) for r in asked[0].collect()} >= {simhash.fingerprint(t.encode()) for t in words}
