@@ -236,6 +236,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, blocks: in
 BAND_ROWS, VERIFY = 30_000, 64
 #: Hashes of a text that make up a slice's share; how many sets make a hash frequent, and frequent hashes that are known to all.
 SLICE_HASHES, FREQUENT, FREQUENT_MOST = 100, 16, 262_144
+#: Slices are read one after the other in so many shares at least (and as many as the cluster has cores), and sets whose counts
+#: a share holds before it gives them out: 32 MB and as much again while they are added up.
+SHARES, TALLY_ROWS = 8, 1 << 21
 #: Bits of a hash that the filter keeps; the upper ones name the slice, 32 stay.
 LOW_BITS = 48
 _TOP = LOW_BITS - 32
@@ -285,6 +288,11 @@ def slices_for(hashes: int, band_rows: int) -> int:
     return 1 << min(_TOP, max(0, -(-hashes // (SLICE_HASHES * band_rows)) - 1).bit_length())
 
 
+def shares_for(cores: int) -> int:
+    """A power of two, so that a share is the upper bits of a slice. The input has no say in it: a set's counts come from each share."""
+    return 1 << min(_TOP, (max(SHARES, cores) - 1).bit_length())
+
+
 def place(hashes: np.ndarray, slices: int) -> np.ndarray:
     """The name of each hash in the filter: its slice, then 32 bits. A function of the hash's lowest LOW_BITS bits."""
     low = hashes & np.uint64((1 << LOW_BITS) - 1)
@@ -315,6 +323,30 @@ def seen_elsewhere(names: np.ndarray, band: np.ndarray, ids: np.ndarray) -> tupl
     return who, shared, value[often], (last - first)[often]
 
 
+def tally(counts: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and counts added up by id, however many parts they come in; once there are more than `most` ids, those are given out
+    and it goes on with the next, so that an id may come again."""
+    held, rows = [], 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        who, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        total = np.zeros(len(who), np.int64)
+        np.add.at(total, at, np.concatenate([x[1] for x in held]))
+        return who, total
+
+    for part in counts:
+        held.append(part)
+        # what is added up waits until as much has come again
+        if sum(len(x[0]) for x in held) > max(2 * rows, most // 8):
+            held = [added()]
+            rows = len(held[0][0])
+            if rows > most:
+                yield held[0]
+                held, rows = [], 0
+    if held:
+        yield added()
+
+
 def chains(token: np.ndarray, n: np.ndarray, ids: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that connect sets with a common token: in order of size, each with the first of those from which sizes grow by
     steps that allow a link. Sizes that rule out a step rule out a link across it. k sets give k - 1 pairs at most."""
@@ -403,7 +435,8 @@ def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_
     of unequal shingles.
 
     Hashes are dealt by value in slices and sets by what they are connected with: each is shuffled once, however many
-    shards there are. Only a connected group of more than band_rows sets is dealt to several shards, whole to each, as
+    shards there are. A task reads a share of the slices, one at a time, and adds up what a set has in them: a set gives a
+    row for each share, and shares follow the cluster, not the input (beyond TALLY_ROWS sets in a share, some rows more). Only a connected group of more than band_rows sets is dealt to several shards, whole to each, as
     one set of a shard is compared with all of the group.
     """
     exact = Fraction(str(similarity))
@@ -445,10 +478,40 @@ def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_
         counts = np.frombuffer(b"".join(pdf["counts"]), "<u4")
         return np.frombuffer(b"".join(pdf["names"]), "<u4"), np.repeat(np.frombuffer(b"".join(pdf[last]), kind).astype(np.int64), counts), np.repeat(np.frombuffer(b"".join(pdf["ids"]), "<i8"), counts)
 
-    def in_slice(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names, band, own = opened(pdf, "<u2", "band")
-        who, shared, value, often = seen_elsewhere(names, band, own)
-        return pd.DataFrame({"of_hash": np.arange(len(who) + len(value)) >= len(who), "key": np.append(who, (int(key[0]) << 32) | value.astype(np.int64)), "value": np.append(shared, often)})
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The slices of a share, which come in order: number, names, bands and ids."""
+        held: list[pa.RecordBatch] = []
+
+        def whole_slice() -> tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            pdf = pa.Table.from_batches(held).to_pandas()
+            held.clear()
+            return int(pdf["slice"].iloc[0]), opened(pdf, "<u2", "band")
+
+        last = -1
+        for batch in filter(len, batches):
+            for number, start, end in zip(*_groups(batch.column("slice").to_numpy()), strict=True):
+                if held and last != number:
+                    yield whole_slice()
+                held.append(batch.slice(start, end - start))
+                last = number
+        if held:
+            yield whole_slice()
+
+    def in_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(of_hash: bool, key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), of_hash)), pa.array(key), pa.array(value.astype(np.int64))], ["of_hash", "key", "value"])
+
+        frequent_here: list[pa.RecordBatch] = []
+
+        def counts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for number, read in one_by_one(batches):
+                who, shared, value, often = seen_elsewhere(*read)
+                frequent_here.append(rows(True, (number << 32) | value.astype(np.int64), often))
+                yield who, shared
+
+        for who, shared in tally(counts(), TALLY_ROWS):
+            yield rows(False, who, shared)
+        yield from frequent_here
 
     def deal_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = frequent.value
@@ -482,9 +545,11 @@ def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, band_
     shown = materialize(map_batches(given, lambda: show, "doc_id long, t long, n long, least long, id long, fp long, low binary"), "shown")
     fps = materialize(shown.where("n > 0").select("fp").distinct(), "distinct")
     classes = materialize(components(links(fps), "near"), "classes").withColumnRenamed("node", "fp")
-    slices = slices_for((shown.agg(F.sum(F.length("low"))).head()[0] or 0) * 8 // LOW_BITS, band_rows)
+    shares = shares_for(spark.sparkContext.defaultParallelism)
+    slices = max(shares, slices_for((shown.agg(F.sum(F.length("low"))).head()[0] or 0) * 8 // LOW_BITS, band_rows))
     dealt = shown.where("n > 0").select("id", "n", "low").mapInArrow(deal_low, blob + "band binary")
-    found = materialize(dealt.repartition(max(parts, slices), "slice").groupBy("slice").applyInPandas(in_slice, "of_hash boolean, key long, value long"), "found")
+    by_share = dealt.repartitionById(shares, F.expr(f"cast(slice div {slices // shares} as int)")).sortWithinPartitions("slice")
+    found = materialize(by_share.mapInArrow(in_share, "of_hash boolean, key long, value long"), "found")
     top = found.where("of_hash").orderBy(F.desc("value"), "key").limit(FREQUENT_MOST).select("key", "value").toPandas().sort_values("key")
     frequent = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64).view(np.uint64), top["value"].to_numpy(np.int64)))
     reps = shown.where("n > 0").groupBy("id", "least").agg(_first(), F.min("fp").alias("fp")).select("id", "least", "one.doc_id", "one.t", "fp")

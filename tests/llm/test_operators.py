@@ -862,3 +862,32 @@ def test_classes_come_first_and_hashes_decide(monkeypatch):
     monkeypatch.setattr(simhash, "_least", lambda k, num, den: k + 1)
     top = simhash.jaccard_forest(sets, homes[0], 4, 5, family)
     assert all((top[i] == top[i - i % 6]) == share[i][i - i % 6] for i in range(n))
+
+
+def test_counts_of_a_set_do_not_grow_with_the_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([(2 * i + j, " ".join(f"t{i}x{m}" for m in range(150)) + f" end{j}") for i in range(60) for j in range(2)], "doc_id bigint, text string").repartition(3)
+    kept, write = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    sums, shares = [], simhash.shares_for(spark.sparkContext.defaultParallelism)
+    for rows in (simhash.BAND_ROWS, 1):
+        kept.clear()
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, band_rows=rows).collect()} == {i: i - i % 2 for i in range(120)}
+        found = kept["found"].where("not of_hash").toPandas()
+        assert found.groupby("key").size().max() <= shares
+        sums.append(found.groupby("key")["value"].sum().to_dict())
+    assert sums[0] == sums[1] and len(sums[0]) == 120
+
+
+def test_counts_are_added_up_whatever_the_parts():
+    rng = np.random.default_rng(9)
+    parts = [(np.unique(rng.integers(-300, 300, 80)), rng.integers(1, 9, 80)) for _ in range(40)]
+    parts = [(a, b[: len(a)]) for a, b in parts] + [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    want = Counter()
+    for ids, n in parts:
+        want.update(dict(zip(ids.tolist(), n.tolist(), strict=True)))
+    for most in (1, 100, 1 << 20):
+        got = list(simhash.tally(iter(parts), most))
+        assert sum((Counter(dict(zip(a.tolist(), b.tolist(), strict=True))) for a, b in got), Counter()) == want
+        assert all(len(set(a.tolist())) == len(a) for a, _ in got)
+    assert len(got) == 1 and list(simhash.tally(iter([]), 1)) == []
+    assert [simhash.shares_for(x) for x in (1, 8, 9, 64, 1 << 30)] == [8, 8, 16, 64, 65536]
