@@ -99,7 +99,7 @@ def label_propagation(graph: Graph, rounds: int = 5) -> DataFrame:
 
 
 def partition_batches(parts: DataFrame, seeds: DataFrame, size: int, shuffle_seed: int | None = None) -> DataFrame:
-    """parts(id, partition), seeds(pos, node) to (batch, pos, node, partition): stable by partition, cut every `size`; batches may straddle
+    """parts(id, partition), seeds(pos, node) to (batch, pos, node, partition): stable by partition, equal `pos` by node, cut every `size`; batches may straddle
     partitions. With a seed, the partitions' order is shuffled; their number is that of communities, the only thing the driver
     sees. A seed without a partition is an error when the batches are read."""
     if size <= 0:
@@ -117,7 +117,7 @@ def partition_batches(parts: DataFrame, seeds: DataFrame, size: int, shuffle_see
             table.append((p, at))
             at += n
         starts = seeds.sparkSession.createDataFrame(table, "partition bigint, start bigint")
-    rank = F.row_number().over(Window.partitionBy("partition").orderBy("pos")) - 1
+    rank = F.row_number().over(Window.partitionBy("partition").orderBy("pos", "node")) - 1
     placed = rows.withColumn("rank", rank).join(starts, "partition").withColumn("place", (F.col("start") + F.col("rank")).cast("bigint"))
     return placed.select(F.floor(F.col("place") / size).cast("bigint").alias("batch"), (F.col("place") % size).alias("pos"), "node", "partition")
 
