@@ -7,17 +7,21 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopweave.functions.prefix import prefix_sum
 from hopweave.sources.shared import materialize
 
 #: Node ids are unsigned 32-bit with the last one reserved.
 MOST_NODES = (1 << 32) - 1
+#: Spans that the ids of sources are cut into: edges are numbered within spans, and the driver sends one row for each.
+SPANS = 4096
+#: Edges of one list; the row of a hub is several.
+LIST = 65_536
 
 
 @dataclass(frozen=True)
 class Graph:
-    """A homogeneous graph, or a bipartite one where num_dst differs from num_nodes. rows(src, start, degree): where the row
-    of each node with edges begins, and curve (see running_weights()), as far as they were made with the graph."""
+    """A homogeneous graph, or a bipartite one where num_dst differs from num_nodes. lists(src, start, degree, first, dst[, weight][, ts]):
+    rows of edges as arrays of up to LIST of them, from place `first` of the row on; rows(src, start, degree): where the row of
+    each node with edges begins; curve (see running_weights()); as far as they were made with the graph."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -25,6 +29,7 @@ class Graph:
     num_dst: int
     rows: DataFrame | None = None
     curve: DataFrame | None = None
+    lists: DataFrame | None = None
 
     @property
     def is_homogeneous(self) -> bool:
@@ -45,8 +50,21 @@ class Graph:
         """src, start, degree of each node with edges."""
         if self.rows is not None:
             return self.rows
+        if self.lists is not None:
+            return self.lists.where("first = 0").select("src", "start", "degree")
         return self.edges.groupBy("src").agg(F.min("eid").alias("start"), F.count("*").alias("degree"))
 
+    def adjacency(self) -> DataFrame:
+        """src, start, degree, first, dst[, weight][, ts]: the rows of edges as arrays."""
+        if self.lists is not None:
+            return self.lists
+        own = Window.partitionBy("src")
+        rows = self.edges.withColumns({"start": F.min("eid").over(own), "degree": F.count("*").over(own)})
+        return in_lists(rows.withColumn("place", F.col("eid") - F.col("start")), self.kept())
+
+    def kept(self) -> list[str]:
+        return [c for c in ("weight", "ts") if c in self.edges.columns]
+
     def running_weights(self) -> DataFrame:
         """src, eid, dst, low, high, last: each edge's stretch of its row's running weight, and whether it is the row's last edge."""
         if self.curve is not None:
@@ -58,15 +76,12 @@ class Graph:
 
     def settle(self) -> Graph:
         """The same graph, read back from tables in the shared folder: it is built once, whatever reads it, and plans stay short."""
-        edges = materialize(self.edges, "edges")
-        return replace(self, edges=edges, rows=materialize(replace(self, edges=edges, rows=None).row_index(), "rows"), curve=None)
+        lists = materialize(self.adjacency(), "lists")
+        return replace(self, edges=out_of_lists(lists), rows=None, curve=None, lists=lists)
 
     def persist(self) -> Graph:
-        """Kept in memory, with its rows' index and running weights, each from its first use on."""
-        kept = replace(self, nodes=self.nodes.persist(), edges=self.edges.persist())
-        # by source over all cores: draws are made where the rows' index is
-        spread = max(self.edges.sparkSession.sparkContext.defaultParallelism, int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        kept = replace(kept, rows=kept.row_index().repartition(spread, "src").persist())
+        """The running weights are kept, from their first use on; lists that settle() wrote are read as they are, others kept."""
+        kept = self if self.lists is not None else replace(self, nodes=self.nodes.persist(), edges=self.edges.persist())
         return replace(kept, curve=kept.running_weights().persist()) if kept.has_weights else kept
 
     def validate(self) -> None:
@@ -81,7 +96,32 @@ class Graph:
         joined = self.edges.drop("ts").join(ts.select("eid", F.col("ts").cast("double").alias("ts")), "eid")
         if ts.count() != self.num_edges() or joined.count() != self.num_edges():
             raise ValueError("timestamps must match the edges one to one")
-        return replace(self, edges=joined.select(*[c for c in self.edges.columns if c != "ts"], "ts"))
+        return replace(self, edges=joined.select(*[c for c in self.edges.columns if c != "ts"], "ts"), lists=None)
+
+
+def in_lists(edges: DataFrame, kept: list[str], per: tuple[str, ...] = ()) -> DataFrame:
+    """edges(*per, src, start, degree, place, dst, *kept) as lists, in order of place. Edges that are dealt by `per` stay where they are."""
+    cut = edges.withColumn("first", F.floor(F.col("place") / LIST).cast("bigint") * LIST)
+    lists = cut.groupBy(*per, "src", "start", "degree", "first").agg(F.array_sort(F.collect_list(F.struct("place", "dst", *kept))).alias("e"))
+    # a field of an array of structs is the array of that field
+    return lists.select("src", "start", "degree", "first", *[F.col(f"e.{c}").alias(c) for c in ("dst", *kept)])
+
+
+def out_of_lists(lists: DataFrame) -> DataFrame:
+    """src, dst, eid[, weight][, ts]; arrays that aren't asked for aren't read."""
+    kept = [c for c in ("weight", "ts") if c in lists.columns]
+    rows = lists.select("src", (F.col("start") + F.col("first")).alias("from"), F.posexplode("dst").alias("at", "dst"), *kept)
+    return rows.select("src", "dst", (F.col("from") + F.col("at")).alias("eid"), *[F.get(c, F.col("at")).alias(c) for c in kept])
+
+
+def span(num_nodes: int, column: str = "src") -> Column:
+    return F.expr(f"{column} div {max(1, -(-num_nodes // SPANS))}")
+
+
+def bases(counts: DataFrame) -> DataFrame:
+    """counts(span, n) to span, base: the edges of smaller spans. At most SPANS rows."""
+    upto = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.groupBy("span").agg(F.sum("n").alias("n")).select("span", F.coalesce(F.sum("n").over(upto), F.lit(0)).cast("bigint").alias("base"))
 
 
 def from_edges(raw: DataFrame, num_nodes: int, order: list[str | Column], num_dst: int | None = None) -> Graph:
@@ -92,14 +132,19 @@ def from_edges(raw: DataFrame, num_nodes: int, order: list[str | Column], num_ds
         raise ValueError(f"num_nodes {num_nodes} is out of range")
     nodes = spark.range(num_nodes).select(F.col("id").cast("bigint").alias("id"))
     kept = [c for c in ("weight", "ts") if c in raw.columns]
-    offsets = prefix_sum(nodes.join(raw.groupBy(F.col("src").alias("id")).count(), "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("degree")), "id", "degree", "start")
-    rows = offsets.where("degree > 0").select(F.col("id").alias("src"), "start", "degree")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(*order)).cast("bigint") - 1
-    placed = raw.withColumn("rank", rank).join(rows.select("src", "start"), "src", "left")
+    inside = F.col("src").between(0, num_nodes - 1)
+    dealt = raw.withColumn("span", span(num_nodes))
+    starts = bases(dealt.where(inside).groupBy("span").agg(F.count("*").alias("n")))
+    # numbered within spans of sources: edges are shuffled and sorted once
+    rank = F.row_number().over(Window.partitionBy("span").orderBy("src", *order)).cast("bigint") - 1
+    placed = dealt.withColumn("rank", rank).join(F.broadcast(starts), "span", "left")
     end = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     beyond = F.raise_error(F.concat(F.lit("edge ("), end("src"), F.lit(", "), end("dst"), F.lit(f"): the source isn't in 0..{num_nodes - 1}"))).cast("bigint")
-    edges = placed.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), F.when(F.col("start").isNull(), beyond).otherwise(F.col("start") + F.col("rank")).alias("eid"), *kept)
-    return Graph(nodes, edges, num_nodes, num_nodes if num_dst is None else num_dst, rows)
+    numbered = placed.select("span", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), F.when(inside, F.col("base") + F.col("rank")).otherwise(beyond).alias("eid"), *kept)
+    own = Window.partitionBy("span", "src")
+    rows = numbered.withColumns({"start": F.min("eid").over(own), "degree": F.count("*").over(own)})
+    lists = in_lists(rows.withColumn("place", F.col("eid") - F.col("start")), kept, ("span",))
+    return Graph(nodes, numbered.drop("span"), num_nodes, num_nodes if num_dst is None else num_dst, lists=lists)
 
 
 def empty(spark) -> Graph:
@@ -118,12 +163,15 @@ def from_csr_arrays(spark, offsets: list[int], targets: list[int]) -> Graph:
 
 
 def validation(graph: Graph) -> DataFrame:
-    out = lambda c, n: F.coalesce(F.sum(((F.col(c) < 0) | (F.col(c) >= n)).cast("bigint")), F.lit(0)).cast("bigint")
-    return graph.edges.agg(
-        F.count("*").cast("bigint").alias("num_edges"),
-        out("src", graph.num_nodes).alias("bad_src"),
-        out("dst", graph.num_dst).alias("bad_dst"),
-        F.coalesce(F.sum((F.col("src").isNull() | F.col("dst").isNull()).cast("bigint")), F.lit(0)).cast("bigint").alias("nulls"),
-        (F.count("*") - F.count_distinct("eid")).cast("bigint").alias("repeated_eids"),
-        F.coalesce(F.max("eid") + 1 - F.count("*"), F.lit(0)).cast("bigint").alias("eid_gaps"),
-    )
+    out = lambda c, n: F.sum(((F.col(c) < 0) | (F.col(c) >= n)).cast("bigint"))
+    # eids as bits of words, which lie together where edges do
+    bit = F.expr("shiftleft(1L, cast(eid & 63 AS INT))")
+    words = graph.edges.groupBy(F.shiftright("eid", 6).alias("word")).agg(
+        F.count("*").alias("n"), out("src", graph.num_nodes).alias("bad_src"), out("dst", graph.num_dst).alias("bad_dst"),
+        F.sum((F.col("src").isNull() | F.col("dst").isNull()).cast("bigint")).alias("nulls"), F.bit_count(F.bit_or(bit)).alias("eids"), F.max("eid").alias("last"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return words.agg(
+        total("n").alias("num_edges"), total("bad_src").alias("bad_src"), total("bad_dst").alias("bad_dst"), total("nulls").alias("nulls"),
+        (total("n") - total("eids")).alias("repeated_eids"), F.coalesce(F.max("last") + 1 - F.sum("n"), F.lit(0)).cast("bigint").alias("eid_gaps"),
+    )
