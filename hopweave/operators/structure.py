@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopweave.functions.prefix import place, prefix_sum
-from hopweave.graph import Graph, from_edges
+from hopweave.graph import Graph, from_edges, out_of_lists
 
 
 def degrees(graph: Graph) -> DataFrame:
@@ -92,6 +92,9 @@ def _relabelled(graph: Graph, names: DataFrame) -> Graph:
 
 def reversed_ids(graph: Graph) -> Graph:
     """The permutation that turns ids around, without a join."""
-    n = graph.num_nodes
-    moved = graph.edges.select((F.lit(n - 1) - F.col("src")).alias("src"), (F.lit(n - 1) - F.col("dst")).alias("dst"), F.col("eid").alias("old_eid"), *[c for c in ("weight", "ts") if c in graph.edges.columns])
-    return from_edges(moved, n, ["old_eid"], graph.num_dst)
+    if not graph.is_homogeneous:
+        raise ValueError(f"a bipartite graph ({graph.num_nodes} to {graph.num_dst} nodes) can't be permuted by one order")
+    n, m, lists = graph.num_nodes, graph.num_edges(), graph.adjacency()
+    # rows move as they are, the last one first
+    turned = lists.select((F.lit(n - 1) - F.col("src")).alias("src"), (F.lit(m) - F.col("start") - F.col("degree")).alias("start"), "degree", "first", F.transform("dst", lambda d: F.lit(n - 1) - d).alias("dst"), *graph.kept())
+    return Graph(graph.nodes, out_of_lists(turned), n, n, lists=turned)

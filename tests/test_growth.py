@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hopweave import graph as graphs
 from hopweave.graph import from_edges, validation
+from hopweave.operators import structure
 
 
 def shuffled(spark, run):
@@ -26,3 +27,19 @@ def test_validation_counts_eids_by_words(spark):
     row, n = shuffled(spark, lambda: validation(graphs.Graph(spark.range(100), edges, 100, 100)).head())
     assert (row["num_edges"], row["bad_src"], row["bad_dst"], row["nulls"], row["repeated_eids"], row["eid_gaps"]) == (20_000, 0, 198, 0, 1, 0)
     assert n < 2_000
+
+
+def hubs(spark, n=300, hubs=10):
+    """Each node to each hub and back, of unlike weights, some of them 0."""
+    raw = spark.range(n * hubs).select((F.col("id") % n + hubs).alias("a"), (F.col("id") % hubs).alias("b"), "id")
+    both = raw.select(F.col("a").alias("src"), F.col("b").alias("dst"), "id").unionByName(raw.select(F.col("b").alias("src"), F.col("a").alias("dst"), (F.col("id") + n * hubs).alias("id")))
+    return from_edges(both.select("src", "dst", (F.col("id") * 7 % 11).cast("double").alias("weight"), (F.col("id") % 97).cast("double").alias("ts"), "id"), n + hubs, ["id"])
+
+
+def test_reversed_rows_move_without_a_shuffle(spark):
+    g = hubs(spark).settle()
+    order = g.nodes.select("id", (F.lit(g.num_nodes - 1) - F.col("id")).alias("old"))
+    want = sorted(map(tuple, structure.permute(g, order).edges.select("src", "dst", "eid", "weight", "ts").collect()))
+    turned = structure.reversed_ids(g)
+    got, n = shuffled(spark, lambda: turned.edges.select("src", "dst", "eid", "weight", "ts").collect())
+    assert sorted(map(tuple, got)) == want and len(want) == 6000 and n == 0
