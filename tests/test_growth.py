@@ -1,10 +1,15 @@
 """What is shuffled follows the edges and nodes, not a group's rows times its edges; results against plain Python."""
 
+import math
+from hashlib import md5
+
+import pytest
 from pyspark.sql import functions as F
 
 from hopweave import graph as graphs
 from hopweave.graph import from_edges, validation
-from hopweave.operators import structure
+from hopweave.operators import sampling, structure
+from hopweave.operators.sampling import Config
 
 
 def shuffled(spark, run):
@@ -29,6 +34,14 @@ def test_validation_counts_eids_by_words(spark):
     assert n < 2_000
 
 
+@pytest.fixture
+def large(spark):
+    """Joins as of tables that are too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def hubs(spark, n=300, hubs=10):
     """Each node to each hub and back, of unlike weights, some of them 0."""
     raw = spark.range(n * hubs).select((F.col("id") % n + hubs).alias("a"), (F.col("id") % hubs).alias("b"), "id")
@@ -43,3 +56,38 @@ def test_reversed_rows_move_without_a_shuffle(spark):
     turned = structure.reversed_ids(g)
     got, n = shuffled(spark, lambda: turned.edges.select("src", "dst", "eid", "weight", "ts").collect())
     assert sorted(map(tuple, got)) == want and len(want) == 6000 and n == 0
+
+
+def test_induced_edges_are_read_where_they_are(spark, large, monkeypatch):
+    monkeypatch.setattr(sampling, "BROADCAST_ROWS", 0)
+    g = hubs(spark).settle()
+    nodes = spark.range(40 * 60).select((F.col("id") % 40).alias("batch"), F.lit(0).cast("bigint").alias("block"), (F.when(F.col("id") < 400, F.col("id") / 40).otherwise(F.col("id") * 13 % 300 + 10)).cast("bigint").alias("node")).distinct()
+    stored, groups = [(r["src"], r["dst"], r["eid"]) for r in g.edges.collect()], {}
+    for r in nodes.collect():
+        groups.setdefault(r["batch"], set()).add(r["node"])
+    want = sorted((b, s, d, e) for b, of in groups.items() for s, d, e in stored if s in of and d in of)
+    got, n = shuffled(spark, lambda: sampling.induced(g, nodes).select("batch", "src", "dst", "eid").collect())
+    assert sorted(map(tuple, got)) == want and len(want) == 12_000
+    assert n < 10_000
+
+
+def drawn(seed, batch, hop, src, *parts):
+    return md5("|".join(map(str, (seed, batch, 0, hop, src, *parts))).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("longest", [65_536, 64])
+def test_weighted_rows_are_cut_where_they_are(spark, large, monkeypatch, longest):
+    monkeypatch.setattr(graphs, "LIST", longest)
+    monkeypatch.setattr(sampling, "LIST", longest, raising=False)
+    monkeypatch.setattr(sampling, "BROADCAST_ROWS", 0)
+    g = hubs(spark, 2000).settle()
+    seeds = spark.range(4 * 100).select((F.col("id") % 4).alias("batch"), F.floor(F.col("id") / 4).alias("pos"), F.floor(F.col("id") / 4).alias("node"))
+    rows = {}
+    for r in g.edges.collect():
+        rows.setdefault(r["src"], []).append((r["eid"], r["weight"]))
+    rank = lambda b, s, e, w: (-math.log((int(drawn(42, b, 1, s, e)[:13], 16) + 1) / (1 << 52)) / w if w > 0 else math.inf, drawn(42, b, 1, s, e), e)
+    want = sorted((b, s, e) for b in range(4) for s in range(100) for _, _, e in sorted(rank(b, s, e, w) for e, w in rows[s])[:3])
+    edges = sampling.sample(g, seeds, Config((3,), weighted=True)).edges
+    got, n = shuffled(spark, lambda: edges.select("batch", "src", "eid").collect())
+    assert sorted(map(tuple, got)) == want
+    assert n < 10_000  # the graph has 40,000 edges
