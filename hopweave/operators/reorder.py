@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,76 +18,89 @@ PHILOX_M, PHILOX_W = (0xD2511F53, 0xCD9E8D57), (0x9E3779B9, 0xBB67AE85)
 LCG = 0x517CC1B727220A95
 
 
-def communities(n: int, edges: np.ndarray) -> tuple[list[int], list[int]]:
+def communities(n: int, near: Iterable[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Merges in rising degree order into the neighboring community of greatest positive modularity gain, ties to the smaller id.
 
-    edges: (m, 2), taken without direction; loops count nowhere. Gives perm, where perm[new] = old along the merge trees (children newest first),
-    and each node's community, numbered by their least members. Gains are compared exactly.
+    near: each node with its neighbors, one for each edge in either direction, loops left out. Gives perm, where perm[new] = old along the
+    merge trees (children newest first), and each node's community, numbered by their least members. Gains are compared exactly.
+    Neighbors stay in the arrays they came in; of a community only what its members had left is added.
     """
-    links: list[dict[int, int]] = [{} for _ in range(n)]
-    strength = [0] * n
-    for a, b in edges.tolist():
-        if a != b:
-            strength[a] += 1
-            strength[b] += 1
-            links[a][b] = links[a].get(b, 0) + 1
-            links[b][a] = links[b].get(a, 0) + 1
-    total = sum(strength)
-    owner = list(range(n))
-
-    def top(x: int) -> int:
-        while owner[x] != x:
-            owner[x] = owner[owner[x]]
-            x = owner[x]
-        return x
-
-    children: list[list[int]] = [[] for _ in range(n)]
-    for v in sorted(range(n), key=lambda x: (strength[x], x)):
-        near: dict[int, int] = {}
-        for u, w in links[v].items():
-            t = top(u)
-            if t != v:
-                near[t] = near.get(t, 0) + w
-        links[v] = near
-        best, gain = None, 0
-        for t in sorted(near):
-            g = near[t] * total - strength[v] * strength[t]
-            if g > gain:
-                best, gain = t, g
-        if best is not None:
-            owner[v] = best
-            children[best].append(v)
-            strength[best] += strength[v]
-            for t, w in near.items():
-                if t != best:
-                    links[best][t] = links[best].get(t, 0) + w
-            links[v] = {}
-    perm, part, numbers = [], [0] * n, {}
-    for v in range(n):
-        part[v] = numbers.setdefault(top(v), len(numbers))
-    for root in (v for v in range(n) if owner[v] == v):
+    links: dict[int, list[tuple[np.ndarray, np.ndarray | None]]] = {}
+    strength = np.zeros(n, np.int64)
+    for v, to in near:
+        links.setdefault(v, []).append((to, None))
+        strength[v] += len(to)
+    total = int(strength.sum())
+    number = np.int64 if total < 1 << 31 else object  # a product of two sums of weights
+    owner, done = np.arange(n), np.zeros(n, bool)
+
+    def top(x: np.ndarray) -> np.ndarray:
+        at = owner[x]
+        while (up := owner[at]).tobytes() != at.tobytes():
+            at = up
+        owner[x] = at
+        return at
+
+    children: dict[int, list[int]] = {}
+    for v in np.argsort(strength, kind="stable").tolist():
+        done[v] = True
+        if not (parts := links.pop(v, None)):
+            continue
+        at, where = np.unique(top(np.concatenate([t for t, _ in parts])), return_inverse=True)
+        # sums of weights up to 2^53 are exact as doubles
+        weight = np.bincount(where, np.concatenate([np.ones(len(t)) if w is None else w for t, w in parts])).astype(np.int64)
+        at, weight = at[at != v], weight[at != v]
+        if not len(at):
+            continue
+        gain = weight.astype(number) * total - int(strength[v]) * strength[at].astype(number)
+        i = int(gain.argmax())
+        if gain[i] <= 0:
+            continue
+        best = int(at[i])
+        owner[v] = best
+        children.setdefault(best, []).append(v)
+        strength[best] += strength[v]
+        if not done[best] and len(at) > 1:
+            links.setdefault(best, []).append((np.delete(at, i).astype(parts[0][0].dtype), np.delete(weight, i)))
+    perm, roots = [], top(np.arange(n))
+    _, first, part = np.unique(roots, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    for root in np.flatnonzero(owner == np.arange(n)).tolist():
         stack = [root]
         while stack:
             v = stack.pop()
             perm.append(v)
-            stack += children[v]
-    return perm, part
+            stack += children.get(v, ())
+    return np.array(perm, np.int64), rank[part]
 
 
 def rabbit(graph: Graph) -> DataFrame:
-    """id, old, partition: the node `old` becomes `id`, and its community. The merge is sequential, so the whole edge list is one group:
-    for graphs that fit a task; label_propagation() is the distributed alternative."""
+    """id, old, partition: the node `old` becomes `id`, and its community. The merge is sequential, so all nodes' neighbors go to one
+    task, as arrays of 4 bytes for each; label_propagation() is the distributed alternative."""
     n = graph.num_nodes
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        perm, part = communities(n, pdf.sort_values("eid")[["src", "dst"]].to_numpy())
-        return pd.DataFrame({"id": range(n), "old": perm, "partition": [part[v] for v in perm]})
+    def run(batches):
+        def near():
+            for b in batches:
+                cells = b.column(1)
+                to, ends = cells.values.to_numpy(), cells.offsets.to_numpy()
+                for v, i, j in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    yield v, to[i:j]
+
+        perm, part = communities(n, near())
+        for i in range(0, n, 100_000):
+            old = perm[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(old))), pa.array(old), pa.array(part[old])], ["id", "old", "partition"])
 
     if not n:
         return graph.edges.sparkSession.createDataFrame([], "id bigint, old bigint, partition bigint")
-    if graph.edges.isEmpty():
+    edges, kind = graph.edges.where("src != dst"), "int" if n < 1 << 31 else "bigint"
+    if edges.isEmpty():
         return graph.nodes.select("id", F.col("id").alias("old"), F.col("id").alias("partition"))
-    return graph.edges.select("src", "dst", "eid").groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: run(pdf), "id bigint, old bigint, partition bigint")
+    end = lambda a, b: edges.select(F.col(a).alias("v"), F.col(b).cast(kind).alias("to"))
+    lists = end("src", "dst").unionByName(end("dst", "src")).groupBy("v").agg(F.collect_list("to").alias("to"))
+    return lists.repartition(1).mapInArrow(run, "id bigint, old bigint, partition bigint")
 
 
 def label_propagation(graph: Graph, rounds: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hopweave import graph as graphs
 from hopweave.graph import from_edges, validation
-from hopweave.operators import sampling, structure
+from hopweave.operators import reorder, sampling, structure
 from hopweave.operators.sampling import Config
 
 
@@ -91,3 +91,65 @@ def test_weighted_rows_are_cut_where_they_are(spark, large, monkeypatch, longest
     got, n = shuffled(spark, lambda: edges.select("batch", "src", "eid").collect())
     assert sorted(map(tuple, got)) == want
     assert n < 10_000  # the graph has 40,000 edges
+
+
+def merged(n, edges):
+    """Rabbit communities by plain dictionaries."""
+    links, strength, owner, children = [{} for _ in range(n)], [0] * n, list(range(n)), [[] for _ in range(n)]
+    for a, b in edges:
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                strength[x] += 1
+                links[x][y] = links[x].get(y, 0) + 1
+    total = sum(strength)
+
+    def top(x):
+        return x if owner[x] == x else top(owner[x])
+
+    for v in sorted(range(n), key=lambda x: (strength[x], x)):
+        near = {}
+        for u, w in links[v].items():
+            if (t := top(u)) != v:
+                near[t] = near.get(t, 0) + w
+        gains = [(near[t] * total - strength[v] * strength[t], -t) for t in near]
+        if gains and max(gains)[0] > 0:
+            best = -max(gains)[1]
+            owner[v] = best
+            children[best].append(v)
+            strength[best] += strength[v]
+            for t, w in near.items():
+                if t != best:
+                    links[best][t] = links[best].get(t, 0) + w
+    perm, numbers = [], {}
+    part = [numbers.setdefault(top(v), len(numbers)) for v in range(n)]
+    for root in (v for v in range(n) if owner[v] == v):
+        stack = [root]
+        while stack:
+            perm.append(v := stack.pop())
+            stack += children[v]
+    return [(i, old, part[old]) for i, old in enumerate(perm)]
+
+
+@pytest.mark.parametrize("n, m", [(40, 70), (120, 150), (200, 2000)])
+def test_communities_equal_plain_ones(spark, n, m):
+    pairs = [(int(md5(f"{n}a{i}".encode()).hexdigest(), 16) % n, int(md5(f"{n}b{i}".encode()).hexdigest(), 16) ** 2 % n) for i in range(m)]
+    g = from_edges(spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "src bigint, dst bigint, i bigint"), n, ["i"])
+    assert sorted(map(tuple, reorder.rabbit(g).collect())) == merged(n, pairs)
+
+
+def test_communities_hold_few_bytes_for_an_edge():
+    import tracemalloc
+
+    import numpy as np
+
+    n, per = 20_000, 50
+    def near():
+        for v in range(n):
+            yield v, ((v + 1 + np.arange(per) ** 2) % n).astype(np.int32)
+            yield v, ((v - 1 - np.arange(per) ** 2) % n).astype(np.int32)
+
+    tracemalloc.start()
+    perm, _ = reorder.communities(n, near())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(perm) == list(range(n)) and most < n * per * 40
