@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hopweave import graph as graphs
 from hopweave.graph import from_edges, validation
-from hopweave.operators import reorder, sampling, structure
+from hopweave.operators import hetero, reorder, sampling, structure
 from hopweave.operators.sampling import Config
 
 
@@ -153,3 +153,24 @@ def test_communities_hold_few_bytes_for_an_edge():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sorted(perm) == list(range(n)) and most < n * per * 40
+
+
+def votes(spark, n=2000, per=20):
+    likes = spark.range(n * per).select((F.col("id") % n).alias("src"), F.floor(F.col("id") / n).alias("dst"))
+    return hetero.from_tables({"user": n, "post": per}, {("user", "likes", "post"): likes, ("post", "liked_by", "user"): likes.select(F.col("dst").alias("src"), F.col("src").alias("dst"))}, {("user", "likes", "post"): ["dst"], ("post", "liked_by", "user"): ["dst"]})
+
+
+def test_typed_edges_are_counted_without_a_graph(spark):
+    got, n = shuffled(spark, lambda: votes(spark).edge_counts().collect())
+    assert {tuple(r) for r in got} == {("user", "likes", "post", 40_000), ("post", "liked_by", "user", 40_000)} and n < 1_000
+
+
+def test_typed_draws_leave_edges_where_they_are(spark, large, monkeypatch):
+    monkeypatch.setattr(hetero, "BROADCAST_ROWS", 0)
+    g = votes(spark).persist()
+    seeds = spark.range(20).select(F.floor(F.col("id") / 5).alias("batch"), (F.col("id") % 5).alias("pos"), F.col("id").alias("node"))
+    s = hetero.sample(g, "user", seeds, {("post", "liked_by", "user"): [3, 2], ("user", "likes", "post"): [3, 3]})
+    got, n = shuffled(spark, lambda: s.edges.collect())
+    stored = {tuple(r) for r in g.edges.select("rel", "src", "dst", "eid").collect()}
+    assert {(r["rel"], r["src"], r["dst"], r["eid"]) for r in got} <= stored and len(stored) == 80_000
+    assert sum(r["hop"] == 1 for r in got) == 60 and n < 10_000
